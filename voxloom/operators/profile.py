@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from voxloom.functions.ranking import id_bucket, number_rows
 from voxloom.functions.text import content_tokens
 from voxloom.operators.cleaning import first_per_cluster
+from voxloom.session import cut_lineage
 
 SLICE_ROWS = 1 << 14
 _POSITION_BITS = 24
@@ -27,6 +28,20 @@ def preprocessed(
     return df.withColumn(out, F.array_join(content_tokens(F.col(text), stop_words), " "))
 
 
+def ranked_tokens(tokens: DataFrame, cluster: str = "Cluster", order: str = "review_id") -> DataFrame:
+    """Number the reviews that have tokens inside their cluster, as ``_rank``.
+
+    Reviews without tokens are numbered after the others.
+    """
+    return number_rows(
+        tokens.select(cluster, order, "tokens", (F.size("tokens") == 0).alias("_empty")),
+        [order],
+        {"empty": F.col("_empty"), "slice": id_bucket(order)},
+        within=[cluster],
+        out="_rank",
+    ).drop("_empty")
+
+
 def _following_tokens(numbered: DataFrame, n: int, cluster: str) -> DataFrame:
     """Add ``_next``: the n-1 tokens that follow each review in its cluster.
 
@@ -61,10 +76,9 @@ def ngrams(
     The reviews of a cluster are read as one text in ``order``, so an n-gram
     may run from one review into the next; ``within_review`` stops that.
     """
-    tokens = tokens.select(cluster, order, "tokens").where(F.size("tokens") > 0)
-    numbered = number_rows(
-        tokens, [order], {"slice": id_bucket(order)}, within=[cluster], out="_rank"
-    )
+    if "_rank" not in tokens.columns:
+        tokens = ranked_tokens(tokens, cluster, order)
+    numbered = tokens.select(cluster, "_rank", "tokens").where(F.size("tokens") > 0)
     if n == 1 or within_review:
         joined = numbered.withColumn("_next", F.array().cast("array<string>"))
     else:
@@ -157,9 +171,11 @@ def cluster_profiles(
     """One row per cluster: size, mean length, terms, bigrams, trigrams, samples.
 
     Each list has a length set by a parameter, so a cluster's row stays small.
+    The numbered tokens are written once and read by all four parts.
     """
     df = df.na.drop(subset=[text, cluster]).select(cluster, order, text)
     tokens = with_tokens(df, text, stop_words).select(cluster, order, "tokens")
+    tokens = cut_lineage(ranked_tokens(tokens, cluster, order))
     base = df.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("size"), F.avg(F.length(text)).alias("avg_text_length")
     )
