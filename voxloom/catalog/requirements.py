@@ -223,8 +223,7 @@ def r3(spark, folder):
          " WHERE type = 'FUNCTIONAL'"),
 )
 def r4(spark, folder):
-    marked = R._marked(_responses(spark, folder), ["cluster", "part"], "response")
-    df = R._structured(marked, ["cluster", "part"]).where("type = 'FUNCTIONAL'")
+    df = _parsed(spark, folder).where("form = 'mark' AND type = 'FUNCTIONAL'")
     return df.select("cluster", "part", "requirement_id", "description", "based_on_comments")
 
 
@@ -234,8 +233,7 @@ def r4(spark, folder):
          " WHERE type = 'NON_FUNCTIONAL'"),
 )
 def r5(spark, folder):
-    marked = R._marked(_responses(spark, folder), ["cluster", "part"], "response")
-    df = R._structured(marked, ["cluster", "part"]).where("type = 'NON_FUNCTIONAL'")
+    df = _parsed(spark, folder).where("form = 'mark' AND type = 'NON_FUNCTIONAL'")
     return df.select(
         "cluster", "part", "requirement_id", "description", "based_on_comments", "nfr_type"
     )
@@ -244,15 +242,17 @@ def r5(spark, folder):
 _ALL = "cluster, part, CAST(pos AS INTEGER) AS position, requirement_id, type, description, based_on_comments, nfr_type"
 
 
-@query("r6_parse_responses", _sql(f"SELECT {_ALL} FROM parsed"))
+@query(
+    "r6_parse_responses",
+    _sql(f"SELECT {_ALL}, 'mark' AS form FROM marked UNION ALL SELECT {_ALL}, 'line' FROM free"),
+)
 def r6(spark, folder):
     return _parsed(spark, folder)
 
 
 @query("r7_free_form", _sql(f"SELECT {_ALL} FROM free"))
 def r7(spark, folder):
-    marked = R._marked(_responses(spark, folder), ["cluster", "part"], "response")
-    return R._free_form(marked, ["cluster", "part"], "response")
+    return _parsed(spark, folder).where("form = 'line'").drop("form")
 
 
 _TEXT_TYPES = {"r8": R.LINE_KEYWORDS, "r9": R.DESCRIPTION_KEYWORDS}

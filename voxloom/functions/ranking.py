@@ -54,7 +54,7 @@ def exact_quantiles(
     value: str,
     probabilities: list[float],
     by: list[str] | None = None,
-    slices: int = 128,
+    levels: int = 7,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
@@ -69,11 +69,19 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    slices = 1 << levels
     cuts = counts.select(
         F.percentile_approx("_v", [i / slices for i in range(1, slices)], 10_000)
     ).scalar()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(levels))])
+
+    def descend(position: Column, step: Column) -> Column:
+        below = F.get(F.col("_cuts"), position + step - 1) < F.col("_v")
+        return F.when(below, position + step).otherwise(position)
+
+    # Binary search: how many cuts lie below the value.
     sliced = counts.withColumn("_cuts", cuts).withColumn(
-        "_s", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+        "_s", F.aggregate(steps, F.lit(0), descend)
     )
     sliced = sliced.drop("_cuts")
     totals = sliced.groupBy(*by, "_s").agg(F.sum("_c").alias("_t"))

@@ -19,15 +19,9 @@ NULL_MARKERS = [
     "nan", "null",
 ]
 
-# Words that the Treebank tokenizer splits in two.
-CONTRACTIONS = {
-    "cannot": "can not",
-    "gimme": "gim me",
-    "gonna": "gon na",
-    "gotta": "got ta",
-    "lemme": "lem me",
-    "wanna": "wan na",
-}
+# Words that the Treebank tokenizer splits in two (can not, gim me,
+# gon na, got ta, lem me, wan na).
+CONTRACTIONS = r"(?<![^ ])(can(?=not)|(?:gim|lem)(?=me)|(?:gon|wan)(?=na)|got(?=ta))(not|me|na|ta)(?![^ ])"
 
 # Letters kept by the normaliser.
 LETTERS = "a-záéíóúñü"
@@ -54,16 +48,10 @@ def normalise(col: Column) -> Column:
 
 def content_tokens(col: Column, stop_words: list[str] | None = None) -> Column:
     """Tokens of the normalised text without stop words, as an array."""
-    words = F.filter(F.split(normalise(col), " "), lambda w: w != "")
-    pairs = [F.lit(x) for item in CONTRACTIONS.items() for x in item]
-    split_words = F.create_map(*pairs)
-    words = F.when(
-        F.exists(words, lambda w: w.isin(list(CONTRACTIONS))),
-        F.flatten(F.transform(words, lambda w: F.split(F.coalesce(split_words[w], w), " "))),
-    ).otherwise(words)
-    if stop_words:
-        words = F.filter(words, lambda w: ~w.isin(stop_words))
-    return words
+    spaced = F.regexp_replace(normalise(col), CONTRACTIONS, "$1 $2")
+    if not stop_words:
+        return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.filter(F.split(spaced, " "), lambda w: ~w.isin(["", *stop_words]))
 
 
 def default_stop_words(language: str = "spanish") -> list[str]:

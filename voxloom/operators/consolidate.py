@@ -9,12 +9,17 @@ from voxloom.functions.ranking import id_bucket, number_rows
 from voxloom.functions.text import content_tokens
 from voxloom.operators.components import connected_components
 from voxloom.operators.responses import comment_ids
+from voxloom.session import cut_lineage
 
 GROUP_ROWS = 4_096
 
 
 def token_sets(df: DataFrame, text: str, key: str, within: list[str]) -> DataFrame:
-    """One row per distinct token set: its smallest key, the set, rarest token first."""
+    """One row per distinct token set: its smallest key, the set as token numbers.
+
+    Tokens are numbered from the rarest to the most frequent, so a sorted set
+    starts with its rarest token and later steps move numbers, not text.
+    """
     sets = (
         df.withColumn("_set", F.array_sort(F.array_distinct(content_tokens(F.col(text)))))
         .where(F.size("_set") > 0)
@@ -23,14 +28,16 @@ def token_sets(df: DataFrame, text: str, key: str, within: list[str]) -> DataFra
     )
     tokens = sets.select("node", F.explode("_set").alias("_t"))
     frequency = tokens.groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))
+    numbers = number_rows(
+        frequency.withColumn("_h", F.xxhash64("_t")),
+        ["_f", "_h", "_t"],
+        {"f": F.col("_f"), "h": F.shiftright("_h", 52)},
+        out="_no",
+    )
     ordered = (
-        tokens.join(frequency, "_t")
+        tokens.join(numbers.select("_t", "_no"), "_t")
         .groupBy("node")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("_f", "_t"))), lambda x: x["_t"]
-            ).alias("tokens")
-        )
+        .agg(F.array_sort(F.collect_list("_no")).alias("tokens"))
     )
     return sets.select("node", *within).join(ordered, "node")
 
@@ -59,7 +66,7 @@ def similar_pairs(
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     within = within or []
-    sets = token_sets(df, text, key, within).withColumn("prefix", _prefix(threshold))
+    sets = cut_lineage(token_sets(df, text, key, within)).withColumn("prefix", _prefix(threshold))
     rows = sets.select("node", *within, "tokens", "prefix", F.explode("prefix").alias("_t"))
     groups = rows.groupBy(*within, "_t").agg(F.count(F.lit(1)).alias("_c"))
     groups = groups.where("_c > 1").withColumn("_subs", F.ceil(F.col("_c") / GROUP_ROWS).cast("int"))

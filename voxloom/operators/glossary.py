@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.checks import require_choice, require_columns
@@ -90,14 +90,23 @@ def covered_positions(
     )
     lengths = terms.agg(F.collect_set("_m")).scalar()
     tokens = df.select(key, words(F.col(text)).alias("_tokens")).where(F.size("_tokens") > 0)
-    starts = tokens.withColumn("_lengths", lengths).select(
-        key, "_lengths", "_tokens", F.explode(F.sequence(F.lit(0), F.size("_tokens") - 1)).alias("_p")
-    )
-    grams = starts.select(
-        key, "_p", "_tokens", F.explode("_lengths").alias("_m")
-    ).where(F.col("_p") + F.col("_m") <= F.size("_tokens"))
-    grams = grams.select(
-        key, "_p", "_m", F.array_join(F.slice("_tokens", F.col("_p") + 1, F.col("_m")), " ").alias("_gram")
+
+    def sequences(m: Column) -> Column:
+        last = F.size("_tokens") - m
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            starts,
+            lambda p: F.struct(
+                F.array_join(F.slice("_tokens", p + 1, m), " ").alias("_gram"),
+                p.alias("_p"),
+                m.alias("_m"),
+            ),
+        )
+
+    grams = (
+        tokens.withColumn("_lengths", lengths)
+        .select(key, F.explode(F.flatten(F.transform("_lengths", sequences))).alias("_g"))
+        .select(key, "_g.*")
     )
     matches = grams.join(terms, ["_gram", "_m"])
     return matches.select(

@@ -31,10 +31,12 @@ def preprocessed(
 def ranked_tokens(tokens: DataFrame, cluster: str = "Cluster", order: str = "review_id") -> DataFrame:
     """Number the reviews that have tokens inside their cluster, as ``_rank``.
 
-    Reviews without tokens are numbered after the others.
+    Reviews without tokens are numbered after the others. The tokens are written
+    first, since the numbering reads them twice and they cost the most.
     """
+    stored = cut_lineage(tokens.select(cluster, order, "tokens"))
     return number_rows(
-        tokens.select(cluster, order, "tokens", (F.size("tokens") == 0).alias("_empty")),
+        stored.withColumn("_empty", F.size("tokens") == 0),
         [order],
         {"empty": F.col("_empty"), "slice": id_bucket(order)},
         within=[cluster],
@@ -86,14 +88,20 @@ def ngrams(
     stream = F.concat("tokens", "_next")
     last = F.size("_stream") - n
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(
+        "_starts",
+        lambda p: F.struct(
+            F.array_join(F.slice("_stream", p + 1, n), " ").alias("ngram"), p.alias("p")
+        ),
+    )
     rows = (
-        joined.withColumn("_stream", stream)
+        joined.select(cluster, "_rank", stream.alias("_stream"))
         .withColumn("_starts", starts)
-        .select(cluster, "_rank", "_stream", F.explode("_starts").alias("_p"))
+        .select(cluster, "_rank", F.explode(grams).alias("_g"))
         .select(
             cluster,
-            F.array_join(F.slice("_stream", F.col("_p") + 1, n), " ").alias("ngram"),
-            (F.shiftleft("_rank", _POSITION_BITS) + F.col("_p")).alias("_at"),
+            F.col("_g.ngram").alias("ngram"),
+            (F.shiftleft("_rank", _POSITION_BITS) + F.col("_g.p")).alias("_at"),
         )
     )
     return rows.groupBy(cluster, "ngram").agg(
@@ -127,7 +135,7 @@ def tfidf_terms(
     scaled to unit length, weights averaged over all n reviews of the cluster.
     """
     sizes = tokens.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
-    tf = (
+    tf = cut_lineage(
         tokens.select(cluster, order, F.explode("tokens").alias("term"))
         .where(F.length("term") >= 2)
         .groupBy(cluster, order, "term")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from voxloom.functions.text import WHITESPACE, squeeze, strip
 
@@ -94,105 +93,74 @@ def type_of_description(col: Column) -> Column:
     return type_by_keyword(col, DESCRIPTION_KEYWORDS)
 
 
-def _padded(prefix: str, number: Column) -> Column:
+def _padded(prefix: Column, number: Column) -> Column:
     zeros = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
-    return F.concat(F.lit(prefix), zeros)
+    return F.concat(prefix, zeros)
+
+
+def _pieces(response: Column) -> Column:
+    """The answer cut before every requirement mark, each piece with its tests."""
+    cut = F.split(F.regexp_replace(clean_response(response), _START, f"$1{_CUT}$2"), _CUT)
+    return F.transform(
+        cut,
+        lambda p, i: F.struct(
+            i.alias("position"),
+            p.alias("text"),
+            p.rlike(FR_BOLD).alias("fr_bold"),
+            p.rlike(FR_PLAIN).alias("fr_plain"),
+            p.rlike(NFR_BOLD).alias("nfr_bold"),
+            p.rlike(NFR_PLAIN).alias("nfr_plain"),
+        ),
+    )
 
 
-def _marked(df: DataFrame, keys: list[str], response: str) -> DataFrame:
-    """Add the pieces of each answer, cut before every requirement mark."""
-    cut = F.regexp_replace(clean_response(F.col(response)), _START, f"$1{_CUT}$2")
-    pieces = df.select(*keys, response, F.split(cut, _CUT).alias("_pieces"))
+def _item(position: Column, text: Column, kind: Column, bold: Column, number: Column) -> Column:
+    return F.struct(
+        position.cast("int").alias("position"), text.alias("text"), kind.alias("kind"),
+        bold.alias("bold"), number.cast("int").alias("number"),
+    )
 
-    def any_piece(*patterns: str) -> Column:
-        return F.exists("_pieces", lambda p: F.greatest(*[p.rlike(x) for x in patterns], F.lit(False)))
 
-    return pieces.select(
-        "*",
-        any_piece(FR_BOLD).alias("_fr_bold"),
-        any_piece(NFR_BOLD).alias("_nfr_bold"),
-        any_piece(FR_BOLD, FR_PLAIN, NFR_BOLD, NFR_PLAIN).alias("_any"),
+def _marked_items(pieces: str, kind: str) -> Column:
+    """Pieces that are requirements of a kind; bold marks win over plain ones."""
+    bold = F.exists(pieces, lambda p: p[f"{kind}_bold"])
+    chosen = F.when(bold, F.filter(pieces, lambda p: p[f"{kind}_bold"])).otherwise(
+        F.filter(pieces, lambda p: p[f"{kind}_plain"])
+    )
+    first = _NFR_FIRST if kind == "nfr" else 0
+    return F.transform(
+        chosen,
+        lambda p: _item(p["position"] + first, p["text"], F.lit(kind), p[f"{kind}_bold"], F.lit(None)),
     )
 
 
-def _structured(marked: DataFrame, keys: list[str]) -> DataFrame:
-    pieces = marked.where("_any").select(
-        *keys, "_fr_bold", "_nfr_bold", F.posexplode("_pieces").alias("_pos", "_piece")
-    )
-    piece = F.col("_piece")
-    pieces = pieces.withColumn(
-        "_fr", F.when(F.col("_fr_bold"), piece.rlike(FR_BOLD)).otherwise(piece.rlike(FR_PLAIN))
-    ).withColumn(
-        "_nfr", F.when(F.col("_nfr_bold"), piece.rlike(NFR_BOLD)).otherwise(piece.rlike(NFR_PLAIN))
+def _line_kind(line: Column) -> Column:
+    lowered = F.lower(line)
+    return F.when(lowered.rlike("|".join(FR_WORDS)), "fr").when(
+        lowered.rlike("|".join(NFR_WORDS)), "nfr"
     )
 
-    def group(kind: str, bold: str, plain: str, i: int) -> Column:
-        return F.when(F.col(f"_{kind}_bold"), F.regexp_extract(piece, bold, i)).otherwise(
-            F.regexp_extract(piece, plain, i)
-        )
 
-    fr = [group("fr", FR_BOLD, FR_PLAIN, i) for i in (1, 2, 3)]
-    nfr = [group("nfr", NFR_BOLD, NFR_PLAIN, i) for i in (1, 2, 3, 4)]
-    named = strip(nfr[1])
-    functional = F.struct(
-        _padded("FR", fr[0]).alias("requirement_id"),
-        F.lit("FUNCTIONAL").alias("type"),
-        strip(fr[1]).alias("description"),
-        clean_comment_list(fr[2]).alias("based_on_comments"),
-        F.lit(None).cast("string").alias("nfr_type"),
-    )
-    quality = F.struct(
-        _padded("NFR", nfr[0]).alias("requirement_id"),
-        F.lit("NON_FUNCTIONAL").alias("type"),
-        strip(nfr[2]).alias("description"),
-        clean_comment_list(nfr[3]).alias("based_on_comments"),
-        F.when(named != "", named).otherwise(type_of_line(piece)).alias("nfr_type"),
-    )
-    found = pieces.where(F.col("_fr") | F.col("_nfr"))
-    return found.select(
-        *keys,
-        F.when(F.col("_nfr"), F.col("_pos") + _NFR_FIRST).otherwise(F.col("_pos")).alias("position"),
-        F.when(F.col("_nfr"), quality).otherwise(functional).alias("_r"),
-    ).select(*keys, "position", "_r.*")
+def _line_description(line: Column) -> Column:
+    before = F.regexp_extract(line, rf"(?is)^(.*?){CLAUSE[4:]}", 1)
+    text = F.when(line.rlike(CLAUSE), strip(before)).otherwise(line)
+    return strip(F.regexp_replace(F.regexp_replace(text, BOLD_PREFIX, ""), ID_PREFIX, ""))
 
 
-def _free_form(marked: DataFrame, keys: list[str], response: str) -> DataFrame:
-    """Answers in no known format: one requirement per line that reads like one."""
-    lines = marked.where(~F.col("_any")).select(
-        *keys, F.posexplode(F.split(response, "\n")).alias("position", "_raw")
-    )
-    lines = lines.withColumn("_line", clean_response(F.col("_raw")))
-    line, lowered = F.col("_line"), F.lower("_line")
-    kind = F.when(lowered.rlike("|".join(FR_WORDS)), "FUNCTIONAL").when(
-        lowered.rlike("|".join(NFR_WORDS)), "NON_FUNCTIONAL"
+def _line_items(response: Column, kind: str) -> Column:
+    """Lines that read like a requirement of a kind, counted from 1."""
+    lines = F.transform(
+        F.split(response, "\n"),
+        lambda raw, i: F.struct(i.alias("position"), clean_response(raw).alias("text")),
     )
-    has_clause = line.rlike(CLAUSE)
-    before = strip(F.regexp_extract(line, rf"(?is)^(.*?)(?:{CLAUSE[4:]})", 1))
-    text = F.when(has_clause, before).otherwise(line)
-    text = strip(F.regexp_replace(F.regexp_replace(text, BOLD_PREFIX, ""), ID_PREFIX, ""))
-    comments = F.when(has_clause, F.regexp_extract(line, CLAUSE, 1)).otherwise("Unknown")
-    rows = (
-        lines.select(
-            *keys,
-            "position",
-            kind.alias("type"),
-            text.alias("description"),
-            clean_comment_list(comments).alias("based_on_comments"),
-            F.when(kind == "NON_FUNCTIONAL", type_of_line(line)).alias("nfr_type"),
-        )
-        .where(F.col("type").isNotNull())
-        .where((F.length("description") > 10) & F.contains(F.lower("description"), F.lit("system")))
-    )
-    number = F.row_number().over(W.partitionBy(*keys, "type").orderBy("position"))
-    prefix = F.when(F.col("type") == "FUNCTIONAL", "FR").otherwise("NFR")
-    return rows.select(
-        *keys,
-        "position",
-        F.format_string("%s%03d", prefix, number).alias("requirement_id"),
-        "type",
-        "description",
-        "based_on_comments",
-        "nfr_type",
+
+    def reads_like_one(line: Column) -> Column:
+        text = _line_description(line["text"])
+        return (F.length(text) > 10) & F.contains(F.lower(text), F.lit("system"))
+
+    found = F.filter(lines, lambda x: (_line_kind(x["text"]) == kind) & reads_like_one(x))
+    return F.transform(
+        found, lambda x, i: _item(x["position"], x["text"], F.lit(kind), F.lit(False), i + 1)
     )
 
 
@@ -201,10 +169,50 @@ def parse_responses(df: DataFrame, keys: list[str], response: str = "response")
 
     An answer is cut before each requirement mark, so a line without a comments
     clause never runs into the next requirement. Bold marks win over plain ones
-    in the same answer. Answers without any mark are read line by line.
+    in the same answer. Answers without any mark are read line by line; ``form``
+    tells ``mark`` from ``line``. All of it happens inside the row, so the job
+    has no shuffle.
     """
-    marked = _marked(df, keys, response)
-    return _structured(marked, keys).unionByName(_free_form(marked, keys, response))
+    cut = df.select(*keys, F.col(response).alias("_answer"), _pieces(F.col(response)).alias("_pieces"))
+    marked = F.exists(
+        "_pieces", lambda p: p["fr_bold"] | p["fr_plain"] | p["nfr_bold"] | p["nfr_plain"]
+    )
+    items = F.when(
+        marked, F.concat(_marked_items("_pieces", "fr"), _marked_items("_pieces", "nfr"))
+    ).otherwise(F.concat(_line_items(F.col("_answer"), "fr"), _line_items(F.col("_answer"), "nfr")))
+    rows = cut.select(*keys, F.explode(items).alias("_i")).select(*keys, "_i.*")
+    text, free = F.col("text"), F.col("number").isNotNull()
+
+    def group(fr: int, nfr: int) -> Column:
+        out = None
+        for kind, bold, plain, i in (("fr", FR_BOLD, FR_PLAIN, fr), ("nfr", NFR_BOLD, NFR_PLAIN, nfr)):
+            for pattern, is_bold in ((bold, True), (plain, False)):
+                here = (F.col("kind") == kind) & (F.col("bold") == is_bold)
+                value = F.regexp_extract(text, pattern, i)
+                out = F.when(here, value) if out is None else out.when(here, value)
+        return out
+
+    prefix = F.upper("kind")
+    quality = F.col("kind") == "nfr"
+    named = F.when(F.col("bold"), strip(F.regexp_extract(text, NFR_BOLD, 2))).otherwise(
+        strip(F.regexp_extract(text, NFR_PLAIN, 2))
+    )
+    clause = F.regexp_extract(text, CLAUSE, 1)
+    comments = F.when(free, F.when(clause != "", clause).otherwise("Unknown")).otherwise(group(3, 4))
+    return rows.select(
+        *keys,
+        "position",
+        F.when(free, F.format_string("%s%03d", prefix, "number"))
+        .otherwise(_padded(prefix, group(1, 1)))
+        .alias("requirement_id"),
+        F.when(quality, "NON_FUNCTIONAL").otherwise("FUNCTIONAL").alias("type"),
+        F.when(free, _line_description(text)).otherwise(strip(group(2, 3))).alias("description"),
+        clean_comment_list(comments).alias("based_on_comments"),
+        F.when(quality, F.when(~free & (named != ""), named).otherwise(type_of_line(text))).alias(
+            "nfr_type"
+        ),
+        F.when(free, "line").otherwise("mark").alias("form"),
+    )
 
 
 def with_validation(requirements: DataFrame) -> DataFrame:
