@@ -28,7 +28,7 @@ from voxloom.operators.ward import ward
 from voxloom.plans.choose_k import choose_k, cluster_reviews
 from voxloom.plans.end_to_end import mine_requirements
 from voxloom.plans.study import fuzzy_study, run_combination, run_study
-from voxloom.session import cut_lineage
+from voxloom.session import cut_lineage, spread
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -185,7 +185,7 @@ _LETTERS = ", ".join(
 SELECT review_id, {', '.join(f'round(v[{i + 1}] / n, 6) AS e{i}' for i in range(6))} FROM n""",
 )
 def m6(spark, folder):
-    df = embed_with(I.reviews(spark, folder), letter_encoder)
+    df = embed_with(spread(I.reviews(spark, folder), "review_id"), letter_encoder)
     return df.select(
         "review_id", *[F.round(F.col("features")[i], 6).alias(f"e{i}") for i in range(6)]
     )

@@ -10,7 +10,7 @@ from voxloom.operators import prompts as P
 from voxloom.operators import requirements as Q
 from voxloom.operators import responses as R
 from voxloom.operators.cleaning import numbered_clusters
-from voxloom.session import cut_lineage
+from voxloom.session import cut_lineage, spread
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -76,7 +76,7 @@ def _responses(spark, folder):
         F.when(kind == 0, bold).when(kind == 1, plain).when(kind == 2, free).when(kind == 3, partial)
         .otherwise(F.concat(t("Nothing to report on "), name))
     )
-    return I.table(spark, folder, "part").select(
+    return spread(I.table(spark, folder, "part"), "p_partkey").select(
         size.cast("int").alias("cluster"),
         number.alias("part"),
         text.alias("response"),

@@ -14,6 +14,7 @@ from voxloom.functions.vectors import (
 )
 from voxloom.operators import glossary as G
 from voxloom.operators import profile as P
+from voxloom.session import spread
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -51,7 +52,7 @@ def _tokens_sql(source: str = "reviews") -> str:
 
 
 def _tokens(spark, folder):
-    return P.with_tokens(I.clustered(spark, folder), stop_words=STOP_WORDS)
+    return P.with_tokens(spread(I.clustered(spark, folder), "review_id"), stop_words=STOP_WORDS)
 
 
 @query("t1_normalise", f"WITH {I.REVIEWS} SELECT review_id, {_NORMAL} AS clean FROM reviews")
@@ -65,7 +66,7 @@ def t1(spark, folder):
     " coalesce(array_to_string(tokens, ' '), '') AS clean FROM tok",
 )
 def t2(spark, folder):
-    df = P.preprocessed(I.reviews(spark, folder), stop_words=STOP_WORDS)
+    df = P.preprocessed(spread(I.reviews(spark, folder), "review_id"), stop_words=STOP_WORDS)
     return df.select("review_id", "clean")
 
 
@@ -148,7 +149,7 @@ SELECT * FROM base JOIN terms USING (Cluster) JOIN bis USING (Cluster) JOIN tris
   JOIN samples USING (Cluster)""",
 )
 def t5(spark, folder):
-    df = P.cluster_profiles(I.clustered(spark, folder), stop_words=STOP_WORDS)
+    df = P.cluster_profiles(spread(I.clustered(spark, folder), "review_id"), stop_words=STOP_WORDS)
     counted = lambda name: F.array_join(
         F.transform(name, lambda g: F.concat_ws(":", g["ngram"], g["n"])), ","
     )
@@ -196,7 +197,9 @@ def _word_glossary(spark, folder):
   FROM reviews, (SELECT list(Term) AS t FROM glossary)""",
 )
 def t6_large(spark, folder):
-    df = G.relevant_count(I.reviews(spark, folder), _word_glossary(spark, folder), method="join")
+    df = G.relevant_count(
+        spread(I.reviews(spark, folder), "review_id"), _word_glossary(spark, folder), method="join"
+    )
     return df.select("review_id", "rc")
 
 
@@ -240,7 +243,7 @@ def _phrase_glossary(spark, folder):
 
 @query("t8_covered_positions", f"{_COVERED} SELECT review_id, position FROM c")
 def t8(spark, folder):
-    return G.covered_positions(I.reviews(spark, folder), _phrase_glossary(spark, folder))
+    return G.covered_positions(spread(I.reviews(spark, folder), "review_id"), _phrase_glossary(spark, folder))
 
 
 @query(
@@ -252,7 +255,7 @@ def t8(spark, folder):
 def t8_vector(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
-    df = G.position_vector(I.reviews(spark, folder), _phrase_glossary(spark, folder), 120)
+    df = G.position_vector(spread(I.reviews(spark, folder), "review_id"), _phrase_glossary(spark, folder), 120)
     slots = vector_to_array("rp_vector")
     on = F.filter(F.sequence(F.lit(0), F.lit(119)), lambda i: slots[i] == 1.0)
     return df.select(

@@ -62,3 +62,12 @@ def default_stop_words(language: str = "spanish") -> list[str]:
 def words(col: Column) -> Column:
     """Runs of letters and digits, case kept, as an array."""
     return F.regexp_extract_all(col, F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+def shifted(tokens: Column, n: int) -> Column:
+    """One struct ``w0 .. w(n-1)`` per position: the word there and the next ones."""
+    rest = [
+        F.slice(tokens, i + 1, F.greatest(F.size(tokens), F.lit(1))).alias(f"w{i}")
+        for i in range(1, n)
+    ]
+    return F.arrays_zip(tokens.alias("w0"), *rest)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.checks import require_choice, require_columns
-from voxloom.functions.text import words
+from voxloom.functions.text import shifted, words
 
 # A glossary up to this many terms travels with the plan as one array.
 MAX_ARRAY_TERMS = 2_000
@@ -79,8 +79,9 @@ def covered_positions(
 ) -> DataFrame:
     """One row per word position of a text that some glossary term covers.
 
-    Word sequences of each term length meet the terms in an equality join; a
-    match at position p of a term with m words covers p to p + m - 1.
+    Word sequences of each term length (a handful of numbers, read first) meet
+    the terms in an equality join; a match at position p of a term with m words
+    covers p to p + m - 1.
     """
     terms = (
         tokenised_glossary(glossary)
@@ -88,25 +89,25 @@ def covered_positions(
         .where(F.col("_m") > 0)
         .distinct()
     )
-    lengths = terms.agg(F.collect_set("_m")).scalar()
+    lengths = [r["_m"] for r in terms.select("_m").distinct().orderBy("_m").collect()]
+    if not lengths:
+        lengths = [1]
     tokens = df.select(key, words(F.col(text)).alias("_tokens")).where(F.size("_tokens") > 0)
-
-    def sequences(m: Column) -> Column:
-        last = F.size("_tokens") - m
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            starts,
-            lambda p: F.struct(
-                F.array_join(F.slice("_tokens", p + 1, m), " ").alias("_gram"),
-                p.alias("_p"),
-                m.alias("_m"),
-            ),
+    starts = tokens.select(
+        key, F.posexplode(shifted(F.col("_tokens"), lengths[-1])).alias("_p", "_w")
+    )
+    here = [F.col("_w")[f"w{i}"] for i in range(lengths[-1])]
+    sequences = [
+        F.when(
+            here[m - 1].isNotNull(),
+            F.struct(F.lit(m).alias("_m"), F.concat_ws(" ", *here[:m]).alias("_gram")),
         )
-
+        for m in lengths
+    ]
     grams = (
-        tokens.withColumn("_lengths", lengths)
-        .select(key, F.explode(F.flatten(F.transform("_lengths", sequences))).alias("_g"))
-        .select(key, "_g.*")
+        starts.select(key, "_p", F.explode(F.array(*sequences)).alias("_g"))
+        .where(F.col("_g").isNotNull())
+        .select(key, "_p", "_g.*")
     )
     matches = grams.join(terms, ["_gram", "_m"])
     return matches.select(

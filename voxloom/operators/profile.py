@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voxloom.functions.ranking import id_bucket, number_rows
-from voxloom.functions.text import content_tokens
+from voxloom.functions.text import content_tokens, shifted
 from voxloom.operators.cleaning import first_per_cluster
 from voxloom.session import cut_lineage
 
@@ -85,24 +85,15 @@ def ngrams(
         joined = numbered.withColumn("_next", F.array().cast("array<string>"))
     else:
         joined = _following_tokens(numbered, n, cluster)
-    stream = F.concat("tokens", "_next")
-    last = F.size("_stream") - n
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(
-        "_starts",
-        lambda p: F.struct(
-            F.array_join(F.slice("_stream", p + 1, n), " ").alias("ngram"), p.alias("p")
-        ),
+    streams = joined.select(cluster, "_rank", F.concat("tokens", "_next").alias("_stream"))
+    zipped = streams.select(
+        cluster, "_rank", F.posexplode(shifted(F.col("_stream"), n)).alias("_p", "_w")
     )
-    rows = (
-        joined.select(cluster, "_rank", stream.alias("_stream"))
-        .withColumn("_starts", starts)
-        .select(cluster, "_rank", F.explode(grams).alias("_g"))
-        .select(
-            cluster,
-            F.col("_g.ngram").alias("ngram"),
-            (F.shiftleft("_rank", _POSITION_BITS) + F.col("_g.p")).alias("_at"),
-        )
+    parts = [F.col("_w")[f"w{i}"] for i in range(n)]
+    rows = zipped.where(parts[-1].isNotNull()).select(
+        cluster,
+        F.concat_ws(" ", *parts).alias("ngram"),
+        (F.shiftleft("_rank", _POSITION_BITS) + F.col("_p")).alias("_at"),
     )
     return rows.groupBy(cluster, "ngram").agg(
         F.count(F.lit(1)).alias("n"), F.min("_at").alias("first_at")

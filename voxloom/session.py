@@ -42,3 +42,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="voxloom-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Repartition a scan that has fewer splits than the cluster has cores.
+
+    A single small file is one task whatever work follows it. A large input has
+    many splits and comes back unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
