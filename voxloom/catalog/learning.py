@@ -578,7 +578,7 @@ def m26(spark, folder):
 @query("m27_study")
 def m27(spark, folder):
     points = I.embeddings(spark, folder).drop("label")
-    plan = X.grid(spark, 64, 3, 3, reductions=["none", "pca"], components=[2], dbscan=[(1.17, 5)])
+    plan = X.grid(spark, 64, 3, 3, reductions=["pca"], components=[2], dbscan=[(0.05, 5)])
     return run_study(points, plan, restarts=1)
 
 
