@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.operators.scoring import with_prediction
+from voxloom.session import shared_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -143,12 +142,7 @@ GLOSSARY = (
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder all executors see, for queries that write and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="voxloom-scratch-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

@@ -355,7 +355,7 @@ def a8(spark, folder):
         application="demo",
     )
     pairs = F.transform(
-        F.array_sort(F.map_entries("clustering.cluster_distribution")),
+        F.sort_array(F.map_entries("clustering.cluster_distribution")),
         lambda e: F.concat_ws(":", e["key"], e["value"]),
     )
     return out.select(

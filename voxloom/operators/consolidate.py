@@ -21,7 +21,7 @@ def token_sets(df: DataFrame, text: str, key: str, within: list[str]) -> DataFra
     starts with its rarest token and later steps move numbers, not text.
     """
     sets = (
-        df.withColumn("_set", F.array_sort(F.array_distinct(content_tokens(F.col(text)))))
+        df.withColumn("_set", F.sort_array(F.array_distinct(content_tokens(F.col(text)))))
         .where(F.size("_set") > 0)
         .groupBy(*within, "_set")
         .agg(F.min(key).alias("node"))
@@ -37,7 +37,7 @@ def token_sets(df: DataFrame, text: str, key: str, within: list[str]) -> DataFra
     ordered = (
         tokens.join(numbers.select("_t", "_no"), "_t")
         .groupBy("node")
-        .agg(F.array_sort(F.collect_list("_no")).alias("tokens"))
+        .agg(F.sort_array(F.collect_list("_no")).alias("tokens"))
     )
     return sets.select("node", *within).join(ordered, "node")
 
@@ -104,7 +104,7 @@ def merge_groups(
     """``key, group`` for every row: rows linked by similar token sets share a group."""
     kinds = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in within]
     rows = df.select(key, text, *kinds).withColumn(
-        "_set", F.array_sort(F.array_distinct(content_tokens(F.col(text))))
+        "_set", F.sort_array(F.array_distinct(content_tokens(F.col(text))))
     )
     nodes = rows.where(F.size("_set") > 0).groupBy(*within, "_set").agg(F.min(key).alias("_node"))
     edges = similar_pairs(rows.drop("_set"), text, key, within, threshold)
@@ -146,7 +146,7 @@ def consolidate(
         "group", F.explode(comment_ids(F.col("based_on_comments"))).alias("_id")
     ).distinct()
     ranked = number_rows(cited, ["_id"], {"slice": id_bucket("_id")}, within=["group"], out="_rank")
-    ids = F.array_sort(F.collect_list("_id"))
+    ids = F.sort_array(F.collect_list("_id"))
     lists = (
         ranked.withColumn("list_part", F.floor((F.col("_rank") - 1) / max_ids).cast("int"))
         .groupBy("group", "list_part")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from voxloom.functions.ranking import id_bucket, number_rows
 from voxloom.functions.text import content_tokens, shifted
 from voxloom.operators.cleaning import first_per_cluster
-from voxloom.session import cut_lineage
+from voxloom.session import stored
 
 SLICE_ROWS = 1 << 14
 _POSITION_BITS = 24
@@ -34,9 +34,9 @@ def ranked_tokens(tokens: DataFrame, cluster: str = "Cluster", order: str = "rev
     Reviews without tokens are numbered after the others. The tokens are written
     first, since the numbering reads them twice and they cost the most.
     """
-    stored = cut_lineage(tokens.select(cluster, order, "tokens"))
+    kept = stored(tokens.select(cluster, order, "tokens"))
     return number_rows(
-        stored.withColumn("_empty", F.size("tokens") == 0),
+        kept.withColumn("_empty", F.size("tokens") == 0),
         [order],
         {"empty": F.col("_empty"), "slice": id_bucket(order)},
         within=[cluster],
@@ -116,6 +116,28 @@ def top_ngrams(
     )
 
 
+def term_counts(tokens: DataFrame) -> DataFrame:
+    """Replace ``tokens`` by one row per distinct token of the row and its count.
+
+    The sorted tokens of a row fall into runs, so counting needs no shuffle.
+    """
+    others = [c for c in tokens.columns if c != "tokens"]
+    in_order = tokens.where(F.size("tokens") > 0).select(*others, F.sort_array("tokens").alias("_s"))
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("_s") - 1),
+        lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)),
+    )
+    runs = F.transform(
+        "_b",
+        lambda b, j: F.struct(
+            F.get("_s", b).alias("term"),
+            (F.coalesce(F.get("_b", j + 1), F.size("_s")) - b).alias("_tf"),
+        ),
+    )
+    counted = in_order.withColumn("_b", starts).select(*others, F.explode(runs).alias("_r"))
+    return counted.select(*others, "_r.*")
+
+
 def tfidf_terms(
     tokens: DataFrame, max_features: int = 100, cluster: str = "Cluster", order: str = "review_id"
 ) -> DataFrame:
@@ -124,20 +146,17 @@ def tfidf_terms(
     Fitted inside each cluster: terms of two letters or more, the
     ``max_features`` most frequent ones, idf ln((1 + n) / (1 + df)) + 1, rows
     scaled to unit length, weights averaged over all n reviews of the cluster.
+    The weights of the kept terms are stored, so Spark knows their size and
+    broadcasts them only when they are small.
     """
     sizes = tokens.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
-    tf = cut_lineage(
-        tokens.select(cluster, order, F.explode("tokens").alias("term"))
-        .where(F.length("term") >= 2)
-        .groupBy(cluster, order, "term")
-        .agg(F.count(F.lit(1)).alias("_tf"))
-    )
+    tf = stored(term_counts(tokens.select(cluster, order, "tokens")).where(F.length("term") >= 2))
     usage = tf.groupBy(cluster, "term").agg(
         F.sum("_tf").alias("_total"), F.count(F.lit(1)).alias("_df")
     )
     place = F.row_number().over(W.partitionBy(cluster).orderBy(F.desc("_total"), "term"))
     kept = usage.withColumn("_place", place).where(F.col("_place") <= max_features)
-    idf = (
+    idf = stored(
         kept.join(sizes, cluster)
         .withColumn("_idf", F.log((1.0 + F.col("_n")) / (1.0 + F.col("_df"))) + 1.0)
         .select(cluster, "term", "_idf", "_n")
@@ -174,13 +193,13 @@ def cluster_profiles(
     """
     df = df.na.drop(subset=[text, cluster]).select(cluster, order, text)
     tokens = with_tokens(df, text, stop_words).select(cluster, order, "tokens")
-    tokens = cut_lineage(ranked_tokens(tokens, cluster, order))
+    tokens = stored(ranked_tokens(tokens, cluster, order))
     base = df.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("size"), F.avg(F.length(text)).alias("avg_text_length")
     )
 
     def listed(ranked: DataFrame, out: str, *fields: str) -> DataFrame:
-        items = F.array_sort(F.collect_list(F.struct("place", *fields)))
+        items = F.sort_array(F.collect_list(F.struct("place", *fields)))
         return ranked.groupBy(cluster).agg(items.alias("_l")).select(
             cluster, F.transform("_l", lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(out)
         )

@@ -58,7 +58,7 @@ def comment_blocks(clustered: DataFrame, max_comments: int = 200) -> DataFrame:
     )
     part = F.floor((F.col("_rank") - 1) / max_comments).cast("int")
     line = F.concat(F.col("ID").cast("string"), F.lit(". "), F.col("Review"))
-    lines = F.array_sort(F.collect_list(F.struct("ID", line.alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct("ID", line.alias("line"))))
     return (
         ranked.withColumn("part", part)
         .groupBy(F.col("Cluster").alias("cluster"), "part")
@@ -103,7 +103,7 @@ def requirement_sections(requirements: DataFrame, max_lines: int = 500) -> DataF
         out="_rank",
     )
     lines = F.transform(
-        F.array_sort(F.collect_list(F.struct("_rank", "_line"))), lambda x: x["_line"]
+        F.sort_array(F.collect_list(F.struct("_rank", "_line"))), lambda x: x["_line"]
     )
     heading = F.concat(F.lit("## CLUSTER "), F.col("cluster").cast("string"), F.lit(" ##\n"))
     return (
@@ -124,10 +124,13 @@ def unification_documents(
     """
     sections = requirement_sections(requirements, max_lines)
     ranked = number_rows(
-        sections, ["cluster", "part"], {"cluster": F.col("cluster")}, out="_rank"
+        sections,
+        ["cluster", "part"],
+        {"cluster": F.col("cluster"), "parts": F.floor(F.col("part") / 4096)},
+        out="_rank",
     )
     texts = F.transform(
-        F.array_sort(F.collect_list(F.struct("_rank", "section"))), lambda x: x["section"]
+        F.sort_array(F.collect_list(F.struct("_rank", "section"))), lambda x: x["section"]
     )
     return (
         ranked.withColumn("document", F.floor((F.col("_rank") - 1) / max_sections).cast("int"))

@@ -142,7 +142,7 @@ def run_summary(
             F.count(F.lit(1)).alias("n_clusters"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("clustered_reviews"),
             F.map_from_entries(
-                F.array_sort(F.collect_list(F.struct(F.col("Cluster"), F.col("n"))))
+                F.sort_array(F.collect_list(F.struct(F.col("Cluster"), F.col("n"))))
             ).alias("cluster_distribution"),
         )
     ).scalar()

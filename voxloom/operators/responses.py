@@ -59,7 +59,7 @@ def clean_comment_list(col: Column) -> Column:
     items = F.transform(F.split(text, ","), lambda x: F.trim(x))
     digits = F.filter(items, lambda x: x.rlike("^[0-9]+$"))
     numbers = F.transform(digits, lambda x: x.try_cast("decimal(38,0)"))
-    in_order = F.transform(F.array_sort(numbers), lambda x: x.cast("string"))
+    in_order = F.transform(F.sort_array(numbers), lambda x: x.cast("string"))
     usable = (F.size(digits) > 0) & ~F.exists(numbers, lambda x: x.isNull())
     return F.when(usable, F.array_join(in_order, ", ")).otherwise(text)
 

@@ -16,7 +16,7 @@ from voxloom.operators.embed import embed_with, embed_with_word2vec, fit_word2ve
 from voxloom.operators.prompts import requirement_number
 from voxloom.operators.scoring import keep_relevant, score_with
 from voxloom.plans.choose_k import cluster_reviews
-from voxloom.session import cut_lineage
+from voxloom.session import stored
 from voxloom.sources.writers import run_folder, write_run_tables
 
 
@@ -49,21 +49,21 @@ def mine_requirements(
         scored = relevance.predict(classifier, clean, glossary, knowledge)
     else:
         scored = score_with(clean, classifier)
-    scored = cut_lineage(scored)
+    scored = stored(scored)
     relevant = keep_relevant(scored).select("review_id", "Review")
     require_complete(relevant, ["Review"])
     if make_encoder is None:
         embedded = embed_with_word2vec(relevant, fit_word2vec(relevant))
     else:
         embedded = embed_with(relevant, make_encoder)
-    clustered = cut_lineage(
-        cluster_reviews(cut_lineage(embedded), algorithm, reduction, k_min, k_max, **clustering)
+    clustered = stored(
+        cluster_reviews(stored(embedded), algorithm, reduction, k_min, k_max, **clustering)
     )
     generation = prompts.generation_prompts(clustered, application, max_comments)
-    answers = cut_lineage(respond.respond(generation, make_responder))
-    initial = cut_lineage(requirements.initial_requirements(answers))
+    answers = stored(respond.respond(generation, make_responder))
+    initial = stored(requirements.initial_requirements(answers))
     documents = prompts.unification_prompts(initial, application)
-    unified_answers = cut_lineage(respond.respond(documents, make_responder))
+    unified_answers = stored(respond.respond(documents, make_responder))
     merged = requirements.unified_requirements(unified_answers)
     keyed = merged.withColumn(
         "requirement_no",
@@ -71,7 +71,7 @@ def mine_requirements(
         + requirement_number() * 2
         + (F.upper("type") != "FUNCTIONAL").cast("int"),
     )
-    unified = cut_lineage(consolidate(keyed, threshold=merge_threshold))
+    unified = stored(consolidate(keyed, threshold=merge_threshold))
     tables = {
         "scored_reviews": scored,
         "clustered_reviews": clustered,
