@@ -255,9 +255,6 @@ def r7(spark, folder):
     return _parsed(spark, folder).where("form = 'line'").drop("form")
 
 
-_TEXT_TYPES = {"r8": R.LINE_KEYWORDS, "r9": R.DESCRIPTION_KEYWORDS}
-
-
 @query(
     "r8_type_of_line",
     f"""WITH {I.REVIEWS}, t AS (SELECT review_id, Review,

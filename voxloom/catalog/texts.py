@@ -39,7 +39,6 @@ def query(name: str, sql: str | None = None):
 
 _NORMAL = "trim(regexp_replace(lower(Review), '[^a-záéíóúñü]+', ' ', 'g'))"
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_SPLIT = "regexp_replace({0}, '(^| ){1}( |$)', '\\1{2}\\2', 'g')"
 
 
 def _tokens_sql(source: str = "reviews") -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from pyspark.sql.functions import pandas_udf
 from voxloom.functions.vectors import argmax
 from voxloom.operators.tiles import matrix
 
+log = logging.getLogger(__name__)
+
 _FLOOR = np.finfo("float64").eps
 
 
@@ -127,6 +130,8 @@ def fit_fuzzy(
         if converged:
             break
     points.unpersist()
+    if state["fpc"] - 1 / k < 1e-3:
+        log.warning("k=%s: the centres have collapsed, every membership is near 1/k", k)
     return FuzzyFit(before, m, round_no, float(state["fpc"]), float(state["objective"]))
 
 
