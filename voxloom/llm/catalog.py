@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import mixing
+from voxloom.llm import mixing, rules
 
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
 
@@ -17,8 +17,15 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"), SOURCE_WEIGHTS)
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    judged = rules.judge(docs.select("doc_id", "text"), rules.quality_rules(docs, labels))
+    return judged.select("doc_id", *rules.STATISTICS, "base_failed", "kept", "rule")
+
+
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 SQL: dict[str, str] = {}
