@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fingerprints, mixing, rules
+from voxloom.llm import fingerprints, mixing, rules, sentences
 
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
 
@@ -27,10 +27,16 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *rules.STATISTICS, "base_failed", "kept", "rule")
 
 
+def op10_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return sentences.remove_repeats(docs)
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_mix_sources": op3_mix_sources,
     "op8_quality_rules": op8_quality_rules,
+    "op10_sentence_spans": op10_sentence_spans,
 }
 
 SQL: dict[str, str] = {}
