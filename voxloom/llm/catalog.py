@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fingerprints, mixing, rules, sentences
+from voxloom.llm import fingerprints, jaccard, mixing, rules, sentences
 
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
 
@@ -21,6 +21,11 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"), SOURCE_WEIGHTS)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return jaccard.near_duplicates(docs).drop("key")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     judged = rules.judge(docs.select("doc_id", "text"), rules.quality_rules(docs, labels))
@@ -35,6 +40,7 @@ def op10_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_mix_sources": op3_mix_sources,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op10_sentence_spans": op10_sentence_spans,
 }
