@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fingerprints, jaccard, mixing, rules, sentences
+from voxloom.llm import fingerprints, jaccard, mixing, rules, sentences, wavelet
+from voxloom.session import shared_folder
 
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
 
@@ -21,6 +25,13 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"), SOURCE_WEIGHTS)
 
 
+def op5_token_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    wavelet.write_tokens(table(spark, folder, "documents"), path, tokenizer)
+    return wavelet.document_digests(spark, path)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return jaccard.near_duplicates(docs).drop("key")
@@ -40,6 +51,7 @@ def op10_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_mix_sources": op3_mix_sources,
+    "op5_token_wavelet_files": op5_token_wavelet_files,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op10_sentence_spans": op10_sentence_spans,
