@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fingerprints, jaccard, mixing, rules, sentences, wavelet
+from voxloom.llm import fingerprints, jaccard, languages, mixing, rules, sentences, wavelet
 from voxloom.session import shared_folder
 
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
@@ -32,6 +32,10 @@ def op5_token_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.document_digests(spark, path)
 
 
+def op6_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.identify_documents(table(spark, folder, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return jaccard.near_duplicates(docs).drop("key")
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_mix_sources": op3_mix_sources,
     "op5_token_wavelet_files": op5_token_wavelet_files,
+    "op6_language_mixture": op6_language_mixture,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op10_sentence_spans": op10_sentence_spans,
