@@ -105,28 +105,44 @@ def block_masks(radius: int, spare: int = 3) -> list[int]:
     return [_signed(sum(c)) for c in itertools.combinations(parts, spare)]
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3, spare: int = 3) -> DataFrame:
+def spare_blocks(n: int, radius: int) -> int:
+    """Blocks in a key, so that it has 6 bits more than are needed to count ``n``.
+
+    Any choice finds the same pairs; fewer blocks mean fewer tables, more blocks fewer
+    chance meetings.
+    """
+    spare = 1
+    while BITS * spare / (radius + spare) < math.log2(max(2, n)) + 6 and spare < 8:
+        spare += 1
+    return spare
+
+
+def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     """``fingerprint, n_near``: how many other distinct values lie within ``radius`` bits.
 
     Only fingerprints that have one are returned; nulls and repeats are dropped first, so
     copies are one. Rows that share a key are worked on in tiles of bounded size, each row
     of a tile counts its own partners there, and a pair counts in the first table that
-    brings it together; pairs are never written out. With 3 spare blocks a key has 32 bits.
+    brings it together; pairs are never written out.
     """
-    masks = block_masks(radius, spare)
     distinct = prints.select("fingerprint").where("fingerprint is not null").distinct()
     distinct = cut_lineage(distinct)
+    masks = block_masks(radius, spare_blocks(distinct.count(), radius))
+    # A key travels as one hash; what meets by chance of it fails the test of the bits.
     keys = F.transform(
         F.array(*[F.lit(m) for m in masks]),
-        lambda m, t: F.struct(t.alias("table"), m.bitwiseAND(F.col("fingerprint")).alias("key")),
+        lambda m, t: F.struct(
+            t.cast("short").alias("table"),
+            F.xxhash64(t, m.bitwiseAND(F.col("fingerprint"))).alias("key"),
+        ),
     )
     keyed = distinct.select("fingerprint", F.explode(keys).alias("_k")).select(
         "fingerprint", "_k.table", "_k.key"
     )
-    shared = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     parts = F.ceil(F.col("_n") / TILE)
     own = F.pmod(F.xxhash64("fingerprint", F.lit(3)), parts).cast("int")
-    members = keyed.join(shared, ["table", "key"]).withColumn("_own", own)
+    members = keyed.join(shared, "key").withColumn("_own", own)
     # A tile is a pair of parts; a row goes to the tiles of its own part.
     tiles = F.transform(
         F.sequence(F.lit(0), (parts - 1).cast("int")),
@@ -139,8 +155,10 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, spare: int = 3) -> Dat
     )
 
     def first_meeting(diff: Column) -> Column:
-        earlier = F.slice(F.array(*[F.lit(m) for m in masks]), F.lit(1), F.col("table"))
-        return ~F.exists(earlier, lambda m: m.bitwiseAND(diff) == 0)
+        tables = F.array(*[F.lit(m) for m in masks])
+        earlier = F.slice(tables, F.lit(1), F.col("table").cast("int"))
+        meet = F.get(tables, F.col("table").cast("int")).bitwiseAND(diff) == 0
+        return meet & ~F.exists(earlier, lambda m: m.bitwiseAND(diff) == 0)
 
     def partner(x: Column, y: Column) -> Column:
         diff = x["fingerprint"].bitwiseXOR(y["fingerprint"])
