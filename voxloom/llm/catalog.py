@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fingerprints, jaccard, languages, mixing, rules, sentences, wavelet
+from voxloom.llm import fingerprints, jaccard, languages, mixing, quality, rules, sentences, wavelet
 from voxloom.session import shared_folder
 
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
@@ -21,6 +21,12 @@ def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"), SOURCE_WEIGHTS)
 
@@ -54,6 +60,7 @@ def op10_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_mix_sources": op3_mix_sources,
     "op5_token_wavelet_files": op5_token_wavelet_files,
     "op6_language_mixture": op6_language_mixture,
