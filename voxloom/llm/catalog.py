@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fingerprints, jaccard, languages, mixing, quality, rules, sentences, wavelet
+from voxloom.llm import chat, fingerprints, jaccard, languages, mixing, quality, rules, sentences, wavelet
 from voxloom.session import shared_folder
 
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
@@ -53,6 +53,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *rules.STATISTICS, "base_failed", "kept", "rule")
 
 
+def op9_chat_roles(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repair_roles(table(spark, folder, "conversations"))
+
+
 def op10_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return sentences.remove_repeats(docs)
@@ -66,6 +70,7 @@ QUERIES = {
     "op6_language_mixture": op6_language_mixture,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
+    "op9_chat_roles": op9_chat_roles,
     "op10_sentence_spans": op10_sentence_spans,
 }
 
