@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import chat, fingerprints, jaccard, languages, mixing, quality, rules, sentences, wavelet
+from voxloom.llm import chat, fingerprints, jaccard, languages, mixing, pieces, quality, rules, sentences, wavelet
 from voxloom.session import shared_folder
 
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
@@ -31,6 +31,11 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"), SOURCE_WEIGHTS)
 
 
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = pieces.load_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode_report(table(spark, folder, "documents"), model)
+
+
 def op5_token_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,6 +71,7 @@ QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_mix_sources": op3_mix_sources,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_token_wavelet_files": op5_token_wavelet_files,
     "op6_language_mixture": op6_language_mixture,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
