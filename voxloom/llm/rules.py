@@ -291,5 +291,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns and rows of ``docs`` that no rule rejects."""
     taken = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in taken]).alias("_row"), "doc_id", "text")
-    judged = judge(inner, quality_rules(docs, labels)).where("kept")
+    judged = judge(inner, quality_rules(docs, labels))
+    # A filter would be pushed below the counts, with each of them written out in full again
+    # and again; it stays above a column that isn't deterministic.
+    keep = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    judged = judged.withColumn("_keep", keep).where("_keep")
     return judged.select(*[F.col("_row")[c].alias(c) for c in taken])
