@@ -11,6 +11,7 @@ from voxloom import checks
 from voxloom.functions.ranking import exact_quantiles, id_bucket, number_rows
 from voxloom.functions.text import content_tokens, default_stop_words
 from voxloom.operators import consolidate as C
+from voxloom.plans.end_to_end import keyed_requirements
 from voxloom.operators import profile as P
 from voxloom.operators.components import connected_components
 from voxloom.operators.scoring import knowledge_kind
@@ -102,34 +103,78 @@ def test_similar_pairs_equal_brute_force(spark, monkeypatch, threshold):
     assert set(pairs) == want
 
 
+REQUIREMENT = (
+    "requirement_no long, type string, nfr_type string, description string, based_on_comments string"
+)
+
+
 def test_consolidation_merges_within_a_kind(spark):
     rows = [
-        (1, "FUNCTIONAL", None, "The system shall export all notes as pdf", "4, 15"),
-        (2, "FUNCTIONAL", None, "The system shall export notes as pdf", "2, 4"),
-        (3, "NON_FUNCTIONAL", "Usability", "The system shall export notes as pdf", "9"),
-        (4, "FUNCTIONAL", None, "Something else entirely", "none"),
+        (1, "FUNCTIONAL", None, "The player shall keep all playlists offline", "88, 21, 5"),
+        (2, "FUNCTIONAL", None, "The player shall keep playlists offline", "40, 21"),
+        (3, "NON_FUNCTIONAL", "Usability", "The player shall keep playlists offline", "63"),
+        (4, "FUNCTIONAL", None, "Something else entirely", "all comments"),
     ]
-    df = spark.createDataFrame(
-        rows,
-        "requirement_no long, type string, nfr_type string, description string, based_on_comments string",
-    )
+    df = spark.createDataFrame(rows, REQUIREMENT)
     got = {r["requirement_id"]: r for r in C.consolidate(df, threshold=0.8).collect()}
     assert set(got) == {"FR001", "FR002", "NFR001"}
-    assert got["FR001"]["based_on_comments"] == "2, 4, 15"
-    assert got["FR001"]["description"] == "The system shall export all notes as pdf"
+    assert got["FR001"]["based_on_comments"] == "5, 21, 40, 88"
+    assert got["FR001"]["description"] == "The player shall keep all playlists offline"
     assert got["FR001"]["n_merged"] == 2
-    assert got["FR002"]["based_on_comments"] == "Unknown"
+    # A group without a number keeps what it says.
+    assert got["FR002"]["based_on_comments"] == "all comments"
+
+
+def test_numbers_and_scripts_are_never_merged_away(spark):
+    rows = [
+        (1, "FUNCTIONAL", None, "The player shall answer in 2 seconds", "1"),
+        (2, "FUNCTIONAL", None, "The player shall answer in 30 seconds", "2"),
+        (3, "FUNCTIONAL", None, "Экспорт заметок в файл", "3"),
+        (4, "FUNCTIONAL", None, "Экспорт заметок в файл!", "4"),
+        (5, "FUNCTIONAL", None, "Поиск по заметкам", "5"),
+    ]
+    out = C.consolidate(spark.createDataFrame(rows, REQUIREMENT), threshold=0.5).collect()
+    assert sorted(r["based_on_comments"] for r in out) == ["1", "2", "3, 4", "5"]
 
 
-def test_consolidation_splits_long_lists(spark):
+def test_long_citations_stay_one_row_and_a_child_table(spark):
     ids = ", ".join(str(i) for i in range(1, 26))
-    df = spark.createDataFrame(
-        [(1, "FUNCTIONAL", "", "The system shall do it", ids)],
-        "requirement_no long, type string, nfr_type string, description string, based_on_comments string",
+    df = spark.createDataFrame([(1, "FUNCTIONAL", "", "The player shall do it", ids)], REQUIREMENT)
+    unified, citations = C.consolidate_tables(df, listed_ids=10)
+    (row,) = unified.collect()
+    assert row["based_on_comments"] == "1, 2, 3, 4, 5, 6, 7, 8, 9, 10"
+    assert row["n_comments"] == 25
+    assert sorted(r["ID"] for r in citations.collect()) == list(range(1, 26))
+
+
+def test_a_shared_key_is_refused(spark):
+    row = (1, "FUNCTIONAL", "", "The player shall do it", "1")
+    with pytest.raises(ValueError, match="2 rows"):
+        C.consolidate(spark.createDataFrame([row, row], REQUIREMENT))
+
+
+def test_repeated_ids_and_failed_documents_lose_nothing(spark):
+    initial = spark.createDataFrame(
+        [(1, "FR001", "FUNCTIONAL", "Keep a queue", "1", None)]
+        + [(2, "FR002", "FUNCTIONAL", "Show the lyrics", "2", None)],
+        "cluster int, requirement_id string, type string, description string, "
+        "based_on_comments string, nfr_type string",
+    )
+    answer = (
+        "**FR001:** The player shall export notes. (Based on comments: 1)\n"
+        "**FR001:** The player shall sync calendars nightly. (Based on comments: 2)\n"
     )
-    rows = C.consolidate(df, max_ids=10).orderBy("list_part").collect()
-    assert [r["list_part"] for r in rows] == [0, 1, 2]
-    assert ", ".join(r["based_on_comments"] for r in rows) == ids
+    answers = spark.createDataFrame(
+        [(0, answer, None), (1, None, "timeout")], "document int, response string, error string"
+    )
+    keyed = keyed_requirements(initial, answers, max_sections=1)
+    out = C.consolidate(keyed).collect()
+    assert sorted(r["description"] for r in out) == [
+        "Show the lyrics",
+        "The player shall export notes.",
+        "The player shall sync calendars nightly.",
+    ]
+    assert all(r["n_merged"] == 1 for r in out)
 
 
 def test_validators(spark):

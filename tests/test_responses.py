@@ -7,23 +7,25 @@ from voxloom.operators.requirements import initial_requirements
 
 BOLD = """
 Functional Requirements (FR)
-**FR001:** The system shall let a user change the password by mail. (Based on comments: 4, 15)
-**FR002:** The system shall offer a form for new tasks. (Based on comments: 7,1 , 3)
+**FR021:** The player shall keep the queue after a restart. (Based on comments: 31)
+**FR022:** The player shall show lyrics next to a song. (Based on comments: 44, 8,8 , 120)
+**FR030:** The player shall cast to a speaker. (Based on comments: 2)
 
 Non-Functional Requirements (NFR)
-**NFR001 (Performance):** The system shall open pages in 2 seconds. (Based on comments: 18, 5, 12)
-**NFR002 (Usability):** The system shall show a clear menu. (Based on comments: 6, 11)
+**NFR007 (Portability):** The player shall run on tablets and watches. (Based on comments: 77, 13)
+**NFR009 (Performance):** The player shall start a song within 400 ms. (Based on comments: 90, 16, 41, 3)
 """
 PLAIN = """
-FR1: The system shall merge duplicate tasks. (Based on comments: 2, 4)
-NFR0012 (Reliability): The system shall keep uploads safe. (Based on comments: 9)
+FR5: The player shall sort albums by year. (Based on comments: 60, 61, 62)
+NFR0040 (Security): The player shall lock a child profile. (Based on comments: 19)
 """
 FREE = """
-The system requirements are:
-- FR: The system shall check the login (Based on comments: 5, 1)
-- NFR Performance: answers come fast (Based on comments: 2, 7)
-- Usability of the mobile system menus must improve
-short
+What listeners ask of the player system:
+- FR: The system shall remember the volume of a headset (Based on comments: 52, 14, 33)
+- FR: The system shall skip silence (Based on comments: 70)
+- NFR Security: listening history stays hidden (Based on comments: 28)
+- Reliability of the offline system downloads must grow
+tiny
 """
 
 
@@ -34,21 +36,21 @@ def parsed(spark, text):
 
 def test_bold_answer(spark):
     rows = parsed(spark, BOLD)
-    assert [r["requirement_id"] for r in rows] == ["FR001", "FR002", "NFR001", "NFR002"]
-    assert [r["nfr_type"] for r in rows] == [None, None, "Performance", "Usability"]
-    assert rows[1]["based_on_comments"] == "1, 3, 7"
-    assert rows[2]["description"] == "The system shall open pages in 2 seconds."
+    assert [r["requirement_id"] for r in rows] == ["FR021", "FR022", "FR030", "NFR007", "NFR009"]
+    assert [r["nfr_type"] for r in rows] == [None, None, None, "Portability", "Performance"]
+    assert rows[1]["based_on_comments"] == "8, 8, 44, 120"
+    assert rows[4]["description"] == "The player shall start a song within 400 ms."
 
 
 def test_plain_answer(spark):
     rows = parsed(spark, PLAIN)
-    assert [r["requirement_id"] for r in rows] == ["FR001", "NFR0012"]
-    assert rows[1]["nfr_type"] == "Reliability"
+    assert [r["requirement_id"] for r in rows] == ["FR005", "NFR0040"]
+    assert rows[1]["nfr_type"] == "Security"
 
 
 def test_bold_marks_win_over_plain_ones(spark):
     rows = parsed(spark, PLAIN + "**FR9:** The system shall win. (Based on comments: 1)")
-    assert [r["requirement_id"] for r in rows] == ["FR009", "NFR0012"]
+    assert [r["requirement_id"] for r in rows] == ["FR009", "NFR0040"]
 
 
 def test_untyped_quality_line_is_not_functional(spark):
@@ -65,13 +67,12 @@ def test_line_without_clause_does_not_swallow_the_next(spark):
 def test_free_form_answer_is_read_line_by_line(spark):
     rows = parsed(spark, FREE)
     assert [(r["requirement_id"], r["position"], r["form"]) for r in rows] == [
-        ("FR001", 1, "line"),
-        ("FR002", 2, "line"),
-        ("NFR001", 4, "line"),
+        ("FR001", 2, "line"),
+        ("FR002", 3, "line"),
+        ("NFR001", 5, "line"),
     ]
-    assert rows[1]["based_on_comments"] == "1, 5"
-    assert rows[2]["based_on_comments"] == "Unknown"
-    assert rows[2]["nfr_type"] == "Quality"
+    assert [r["based_on_comments"] for r in rows] == ["14, 33, 52", "70", "Unknown"]
+    assert rows[2]["nfr_type"] == "Performance"
 
 
 def test_empty_answer_gives_a_typed_empty_table(spark):

@@ -385,8 +385,8 @@ def r14(spark, folder):
 
 @query(
     "r15_unified_requirements",
-    _sql("SELECT part AS document, requirement_id, type, description, based_on_comments, nfr_type"
-         " FROM parsed"),
+    _sql("SELECT part AS document, position, requirement_id, type, description, based_on_comments,"
+         " nfr_type FROM parsed"),
 )
 def r15(spark, folder):
     answers = _responses(spark, folder).withColumnRenamed("part", "document")
@@ -455,12 +455,13 @@ def r16_pairs(spark, folder):
     min(type) AS type, min(nfr_type) AS nfr_type, min(requirement_no) AS f, count(*) AS n_merged
     FROM member GROUP BY root),
   ids AS (SELECT root, string_agg(DISTINCT id::VARCHAR, ', ' ORDER BY id::VARCHAR) AS unused,
-    array_to_string(list_sort(list_distinct(list(id))), ', ') AS based_on_comments FROM
+    array_to_string(list_sort(list_distinct(list(id))), ', ') AS based_on_comments,
+    count(DISTINCT id) AS n_comments FROM
     (SELECT root, CAST(unnest(string_split(based_on_comments, ', ')) AS BIGINT) AS id FROM member) GROUP BY root),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY f) AS n FROM best)
 SELECT CASE type WHEN 'FUNCTIONAL' THEN 'FR' ELSE 'NFR' END || CASE WHEN n < 1000 THEN
   lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS requirement_id, type, description, based_on_comments,
-  nfr_type, n_merged, 0 AS list_part FROM numbered JOIN ids USING (root)""",
+  nfr_type, n_merged, n_comments FROM numbered JOIN ids USING (root)""",
 )
 def r16(spark, folder):
     return C.consolidate(_to_merge(spark, folder), threshold=0.9)

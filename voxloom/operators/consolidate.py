@@ -6,12 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.ranking import id_bucket, number_rows
-from voxloom.functions.text import content_tokens
 from voxloom.operators.components import connected_components
 from voxloom.operators.responses import comment_ids
 from voxloom.session import cut_lineage
 
 GROUP_ROWS = 4_096
+LISTED_IDS = 10_000
+
+
+def requirement_tokens(col: Column) -> Column:
+    """Lower-cased runs of letters and digits of any script, as an array."""
+    return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{Nd}]+"), 0)
+
+
+def stated_numbers(col: Column) -> Column:
+    """The numbers a text states, in ascending order of their digits, as one text."""
+    found = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"\p{Nd}+(?:[.,]\p{Nd}+)*"), 0)
+    return F.array_join(F.sort_array(found), " ")
 
 
 def token_sets(df: DataFrame, text: str, key: str, within: list[str]) -> DataFrame:
@@ -21,7 +32,7 @@ def token_sets(df: DataFrame, text: str, key: str, within: list[str]) -> DataFra
     starts with its rarest token and later steps move numbers, not text.
     """
     sets = (
-        df.withColumn("_set", F.sort_array(F.array_distinct(content_tokens(F.col(text)))))
+        df.withColumn("_set", F.sort_array(F.array_distinct(requirement_tokens(F.col(text)))))
         .where(F.size("_set") > 0)
         .groupBy(*within, "_set")
         .agg(F.min(key).alias("node"))
@@ -101,10 +112,15 @@ def similar_pairs(
 def merge_groups(
     df: DataFrame, key: str, within: list[str], threshold: float, text: str = "description"
 ) -> DataFrame:
-    """``key, group`` for every row: rows linked by similar token sets share a group."""
+    """``key, group`` for every row: rows linked by similar token sets share a group.
+
+    Rows that state different numbers ("in 2 seconds", "in 30 seconds") are different
+    requirements however alike their words are, and never share one.
+    """
     kinds = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in within]
-    rows = df.select(key, text, *kinds).withColumn(
-        "_set", F.sort_array(F.array_distinct(content_tokens(F.col(text))))
+    within = [*within, "_numbers"]
+    rows = df.select(key, text, *kinds, stated_numbers(F.col(text)).alias("_numbers")).withColumn(
+        "_set", F.sort_array(F.array_distinct(requirement_tokens(F.col(text))))
     )
     nodes = rows.where(F.size("_set") > 0).groupBy(*within, "_set").agg(F.min(key).alias("_node"))
     edges = similar_pairs(rows.drop("_set"), text, key, within, threshold)
@@ -117,25 +133,41 @@ def merge_groups(
     )
 
 
-def consolidate(
+def require_unique(df: DataFrame, key: str) -> None:
+    """A key that two rows share would multiply them in the joins on it."""
+    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{key} {twice[0][0]} is on {twice[0][1]} rows")
+
+
+def consolidate_tables(
     requirements: DataFrame,
     key: str = "requirement_no",
     threshold: float = 0.6,
-    max_ids: int = 10_000,
-) -> DataFrame:
-    """Unified table: similar requirements of one kind merged, comments united.
+    listed_ids: int = LISTED_IDS,
+) -> tuple[DataFrame, DataFrame]:
+    """``(unified, citations)``: similar requirements of one kind merged, comments united.
 
     The description is the longest of a group (the first one on a tie). Ids run
-    per kind in the order of the first member. A group that cites more than
-    ``max_ids`` comments has its list in several rows, counted by ``list_part``.
+    per kind in the order of the first member. ``unified`` has one row for each
+    requirement; ``based_on_comments`` lists its comments in order, the first
+    ``listed_ids`` of ``n_comments``, and ``citations`` (``requirement_id, ID``)
+    has all of them. A group that cites no number keeps the text of its first
+    member that has one.
     """
+    require_unique(requirements, key)
     within = ["type", "nfr_type"]
     groups = merge_groups(requirements, key, within, threshold)
     joined = requirements.join(groups, key)
     best = F.max_by(F.struct("description", *within), F.struct(F.length("description"), -F.col(key)))
+    said = F.trim(F.col("based_on_comments"))
+    said = F.when(said != "", said)
     merged = joined.groupBy("group").agg(
-        best.alias("_best"), F.min(key).alias("_first"), F.count(F.lit(1)).alias("n_merged")
-    ).select("group", "_best.*", "_first", "n_merged")
+        best.alias("_best"),
+        F.min(key).alias("_first"),
+        F.count(F.lit(1)).alias("n_merged"),
+        F.min_by(said, F.when(said.isNotNull(), F.col(key))).alias("_said"),
+    ).select("group", "_best.*", "_first", "n_merged", "_said")
     kind = F.when(F.upper("type") == "FUNCTIONAL", "FR").otherwise("NFR")
     numbered = number_rows(
         merged.withColumn("_kind", kind), ["_first"], {"slice": id_bucket("_first")},
@@ -143,25 +175,30 @@ def consolidate(
     )
     numbered = numbered.withColumn("requirement_id", F.format_string("%s%03d", "_kind", "_no"))
     cited = joined.select(
-        "group", F.explode(comment_ids(F.col("based_on_comments"))).alias("_id")
+        "group", F.explode(comment_ids(F.col("based_on_comments"))).alias("ID")
     ).distinct()
-    ranked = number_rows(cited, ["_id"], {"slice": id_bucket("_id")}, within=["group"], out="_rank")
-    ids = F.sort_array(F.collect_list("_id"))
-    lists = (
-        ranked.withColumn("list_part", F.floor((F.col("_rank") - 1) / max_ids).cast("int"))
-        .groupBy("group", "list_part")
-        .agg(F.array_join(ids.cast("array<string>"), ", ").alias("_list"))
+    ranked = number_rows(cited, ["ID"], {"slice": id_bucket("ID")}, within=["group"], out="_rank")
+    ids = F.sort_array(F.collect_list(F.when(F.col("_rank") <= listed_ids, F.col("ID"))))
+    lists = ranked.groupBy("group").agg(
+        F.array_join(ids.cast("array<string>"), ", ").alias("_list"),
+        F.count(F.lit(1)).alias("n_comments"),
     )
-    return (
-        numbered.join(lists, "group", "left")
-        .select(
-            "requirement_id",
-            "type",
-            "description",
-            F.coalesce("_list", F.lit("Unknown")).alias("based_on_comments"),
-            "nfr_type",
-            "n_merged",
-            F.coalesce("list_part", F.lit(0)).alias("list_part"),
-        )
+    unified = numbered.join(lists, "group", "left").select(
+        "requirement_id",
+        "type",
+        "description",
+        F.coalesce("_list", "_said", F.lit("Unknown")).alias("based_on_comments"),
+        "nfr_type",
+        "n_merged",
+        F.coalesce("n_comments", F.lit(0)).alias("n_comments"),
+    )
+    return unified, cited.join(numbered.select("group", "requirement_id"), "group").select(
+        "requirement_id", "ID"
     )
 
+
+def consolidate(
+    requirements: DataFrame, key: str = "requirement_no", threshold: float = 0.6
+) -> DataFrame:
+    """The unified table of ``consolidate_tables``: one row for each requirement."""
+    return consolidate_tables(requirements, key, threshold)[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from voxloom.functions.ranking import id_bucket, number_rows
 from voxloom.operators.responses import type_of_description
@@ -43,12 +44,8 @@ number each kind from 001. Answer with these lines only:
 """
 
 
-def comment_blocks(clustered: DataFrame, max_comments: int = 200) -> DataFrame:
-    """One block of lines ``ID. text`` per cluster and part, in ID order.
-
-    A part holds at most ``max_comments`` comments, so a cluster with a third
-    of all reviews becomes many prompts and every comment is in one of them.
-    """
+def comment_parts(clustered: DataFrame, max_comments: int = 200) -> DataFrame:
+    """``Cluster, ID, Review, part``: the prompt each comment is in."""
     ranked = number_rows(
         clustered.select("Cluster", "ID", "Review"),
         ["ID"],
@@ -57,10 +54,19 @@ def comment_blocks(clustered: DataFrame, max_comments: int = 200) -> DataFrame:
         out="_rank",
     )
     part = F.floor((F.col("_rank") - 1) / max_comments).cast("int")
+    return ranked.withColumn("part", part).drop("_rank")
+
+
+def comment_blocks(clustered: DataFrame, max_comments: int = 200) -> DataFrame:
+    """One block of lines ``ID. text`` per cluster and part, in ID order.
+
+    A part holds at most ``max_comments`` comments, so a cluster with a third
+    of all reviews becomes many prompts and every comment is in one of them.
+    """
     line = F.concat(F.col("ID").cast("string"), F.lit(". "), F.col("Review"))
     lines = F.sort_array(F.collect_list(F.struct("ID", line.alias("line"))))
     return (
-        ranked.withColumn("part", part)
+        comment_parts(clustered, max_comments)
         .groupBy(F.col("Cluster").alias("cluster"), "part")
         .agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("comments"))
     )
@@ -82,8 +88,8 @@ def requirement_number(col: str = "requirement_id") -> Column:
     return F.regexp_extract(F.col(col), r"([0-9]+)", 1).cast("bigint")
 
 
-def requirement_sections(requirements: DataFrame, max_lines: int = 500) -> DataFrame:
-    """One section per cluster and part: a heading, FR lines, then NFR lines."""
+def _section_lines(requirements: DataFrame, max_lines: int) -> DataFrame:
+    """``cluster, part, _rank, _line, _row``: every requirement in its section."""
     quality = F.upper("type") != "FUNCTIONAL"
     known = F.col("nfr_type") if "nfr_type" in requirements.columns else F.lit(None).cast("string")
     nfr_type = F.coalesce(known, type_of_description(F.col("description")))
@@ -93,8 +99,9 @@ def requirement_sections(requirements: DataFrame, max_lines: int = 500) -> DataF
         F.lit(" (Based on comments: "), F.col("based_on_comments"), F.lit(")\n"),
     )
     rows = requirements.select(
-        "cluster", quality.cast("int").alias("_kind"), requirement_number().alias("_no"), line.alias("_line")
-    )
+        "cluster", quality.cast("int").alias("_kind"), requirement_number().alias("_no"),
+        line.alias("_line"), F.struct(*requirements.columns).alias("_row"),
+    )
     ranked = number_rows(
         rows,
         ["_kind", "_no"],
@@ -102,18 +109,52 @@ def requirement_sections(requirements: DataFrame, max_lines: int = 500) -> DataF
         within=["cluster"],
         out="_rank",
     )
+    return ranked.withColumn("part", F.floor((F.col("_rank") - 1) / max_lines).cast("int"))
+
+
+def requirement_sections(requirements: DataFrame, max_lines: int = 500) -> DataFrame:
+    """One section per cluster and part: a heading, FR lines, then NFR lines."""
     lines = F.transform(
         F.sort_array(F.collect_list(F.struct("_rank", "_line"))), lambda x: x["_line"]
     )
     heading = F.concat(F.lit("## CLUSTER "), F.col("cluster").cast("string"), F.lit(" ##\n"))
     return (
-        ranked.withColumn("part", F.floor((F.col("_rank") - 1) / max_lines).cast("int"))
+        _section_lines(requirements, max_lines)
         .groupBy("cluster", "part")
         .agg(F.array_join(lines, "").alias("_body"))
         .select("cluster", "part", F.concat(heading, "_body").alias("section"))
     )
 
 
+def _in_documents(sections: DataFrame, max_sections: int) -> DataFrame:
+    """``sections`` in cluster order with their ``document``."""
+    ranked = number_rows(
+        sections,
+        ["cluster", "part"],
+        {"cluster": F.col("cluster"), "parts": F.floor(F.col("part") / 4096)},
+        out="_rank",
+    )
+    return ranked.withColumn("document", F.floor((F.col("_rank") - 1) / max_sections).cast("int"))
+
+
+def requirements_by_document(
+    requirements: DataFrame, max_lines: int = 500, max_sections: int = 50
+) -> DataFrame:
+    """The requirements with the ``document`` of ``unification_documents`` they are in.
+
+    ``place`` numbers the rows of a document, of which there are at most
+    ``max_lines * max_sections``.
+    """
+    lines = _section_lines(requirements, max_lines).select("cluster", "part", "_rank", "_row")
+    sections = _in_documents(lines.select("cluster", "part").distinct(), max_sections)
+    order = W.partitionBy("document").orderBy("cluster", "part", "_rank")
+    return (
+        lines.join(sections.select("cluster", "part", "document"), ["cluster", "part"])
+        .withColumn("place", F.row_number().over(order))
+        .select("_row.*", "document", "place")
+    )
+
+
 def unification_documents(
     requirements: DataFrame, max_lines: int = 500, max_sections: int = 50
 ) -> DataFrame:
@@ -122,19 +163,12 @@ def unification_documents(
     A run with few clusters gives one document. A large one gives several; the
     answers are then merged across documents by ``consolidate``.
     """
-    sections = requirement_sections(requirements, max_lines)
-    ranked = number_rows(
-        sections,
-        ["cluster", "part"],
-        {"cluster": F.col("cluster"), "parts": F.floor(F.col("part") / 4096)},
-        out="_rank",
-    )
+    ranked = _in_documents(requirement_sections(requirements, max_lines), max_sections)
     texts = F.transform(
         F.sort_array(F.collect_list(F.struct("_rank", "section"))), lambda x: x["section"]
     )
     return (
-        ranked.withColumn("document", F.floor((F.col("_rank") - 1) / max_sections).cast("int"))
-        .groupBy("document")
+        ranked.groupBy("document")
         .agg(F.array_join(texts, "\n").alias("requirements"))
     )
 

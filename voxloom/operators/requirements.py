@@ -36,11 +36,15 @@ def initial_requirements(responses: DataFrame) -> DataFrame:
 
 
 def unified_requirements(responses: DataFrame) -> DataFrame:
-    """Requirements from the unification answers ``document, response``."""
+    """Requirements from the unification answers ``document, response``.
+
+    ``position`` tells the lines of an answer apart; the ids it prints may repeat.
+    """
     parsed = parse_responses(answered(responses), ["document"])
     return parsed.select(
-        "document", "requirement_id", "type", "description", "based_on_comments", "nfr_type"
-    )
+        "document", "position", "requirement_id", "type", "description", "based_on_comments",
+        "nfr_type",
+    )
 
 
 def requirement_comments(requirements: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -11,15 +12,57 @@ from pyspark.sql import functions as F
 
 from voxloom.checks import require_complete
 from voxloom.operators import cleaning, prompts, relevance, reports, requirements, respond
-from voxloom.operators.consolidate import consolidate
+from voxloom.operators.consolidate import consolidate_tables
 from voxloom.operators.embed import embed_with, embed_with_word2vec, fit_word2vec
-from voxloom.operators.prompts import requirement_number
 from voxloom.operators.scoring import keep_relevant, score_with
 from voxloom.plans.choose_k import cluster_reviews
 from voxloom.session import stored
 from voxloom.sources.writers import run_folder, write_run_tables
 
 
+def keyed_requirements(initial: DataFrame, answers: DataFrame, **limits: int) -> DataFrame:
+    """The rows to merge, each with a ``requirement_no`` of its own.
+
+    Those of an answered document come from its answer, and their number from the
+    document and the position in it, as the printed ids may repeat. A document
+    whose prompt failed keeps its initial requirements as they are.
+    """
+    columns = ["type", "description", "based_on_comments", "nfr_type"]
+    first = F.shiftleft(F.col("document").cast("bigint"), 32)
+    merged = requirements.unified_requirements(answers)
+    merged = merged.select((first + F.col("position")).alias("requirement_no"), *columns)
+    failed = answers.join(respond.answered(answers).select("document"), "document", "left_anti")
+    kept = prompts.requirements_by_document(initial, **limits).join(
+        failed.select("document"), "document", "left_semi"
+    )
+    kept = kept.select((first + F.col("place")).alias("requirement_no"), *columns)
+    return merged.unionByName(kept)
+
+
+def failure_report(
+    clustered: DataFrame, answers: DataFrame, unified_answers: DataFrame, initial: DataFrame,
+    max_comments: int = 200,
+) -> DataFrame:
+    """``what, n``: failed prompts, and the comments and requirements they hold."""
+    lost = answers.join(respond.answered(answers), ["cluster", "part"], "left_anti")
+    uncovered = prompts.comment_parts(clustered, max_comments).join(
+        lost.select(F.col("cluster").alias("Cluster"), "part"), ["Cluster", "part"], "left_semi"
+    )
+    broken = unified_answers.join(respond.answered(unified_answers), "document", "left_anti")
+    kept = prompts.requirements_by_document(initial).join(broken, "document", "left_semi")
+    counts = {
+        "failed_generation_prompts": lost,
+        "uncovered_comments": uncovered,
+        "failed_unification_prompts": broken,
+        "requirements_kept_as_they_were": kept,
+    }
+    rows = [
+        table.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+        for name, table in counts.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def mine_requirements(
     reviews: DataFrame,
     application: str,
@@ -42,7 +85,9 @@ def mine_requirements(
     ``classifier`` is a fitted Spark ML model or a caller's scoring function.
     Answers are written to the checkpoint folder before they are parsed, so a
     lost executor never asks the responder again for a parsed answer. The
-    unification answers of all documents are merged by ``consolidate``.
+    unification answers of all documents are merged by ``consolidate_tables``; a
+    document without an answer keeps its initial requirements, and
+    ``failure_report`` counts what failed.
     """
     clean = cleaning.drop_unusable(reviews)
     if isinstance(classifier, PipelineModel):
@@ -64,14 +109,9 @@ def mine_requirements(
     initial = stored(requirements.initial_requirements(answers))
     documents = prompts.unification_prompts(initial, application)
     unified_answers = stored(respond.respond(documents, make_responder))
-    merged = requirements.unified_requirements(unified_answers)
-    keyed = merged.withColumn(
-        "requirement_no",
-        F.shiftleft(F.col("document").cast("bigint"), 32)
-        + requirement_number() * 2
-        + (F.upper("type") != "FUNCTIONAL").cast("int"),
-    )
-    unified = stored(consolidate(keyed, threshold=merge_threshold))
+    keyed = stored(keyed_requirements(initial, unified_answers))
+    unified, citations = consolidate_tables(keyed, threshold=merge_threshold)
+    unified = stored(unified)
     tables = {
         "scored_reviews": scored,
         "clustered_reviews": clustered,
@@ -82,6 +122,10 @@ def mine_requirements(
         ),
         "initial_requirements": initial,
         "unified_requirements": unified,
+        "requirement_citations": citations,
+        "failure_report": failure_report(
+            clustered, answers, unified_answers, initial, max_comments
+        ),
         "filtering_report": reports.filtering_report(clean, relevant, "classifier", knowledge),
         "clustering_report": reports.clustering_report(clustered, algorithm, reduction),
         "generation_report": reports.generation_report(initial, unified, "responder", "caller"),
