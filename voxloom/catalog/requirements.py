@@ -385,12 +385,12 @@ def r14(spark, folder):
 
 @query(
     "r15_unified_requirements",
-    _sql("SELECT part AS document, position, requirement_id, type, description, based_on_comments,"
-         " nfr_type FROM parsed"),
+    _sql("SELECT part AS document, requirement_id, type, description, based_on_comments, nfr_type"
+         " FROM parsed"),
 )
 def r15(spark, folder):
     answers = _responses(spark, folder).withColumnRenamed("part", "document")
-    return Q.unified_requirements(answers)
+    return Q.unified_requirements(answers).drop("position")
 
 
 # Requirements to merge: one per part, worded by name, type and size.
