@@ -275,11 +275,13 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
         F.struct(F.lit(0).alias("side"), F.col("text").alias("text")),
         F.struct(F.lit(1).alias("side"), F.col("_edited").alias("text")),
     )
+    # The id goes along so that both readers of the dealt texts ask for the same columns,
+    # and the texts are shuffled once.
     voted = fingerprints(
-        both.select("_bucket", "_place", F.explode(sides).alias("_s")).select(
-            "_bucket", "_place", "_s.side", "_s.text"
+        both.select("_bucket", "_place", "doc_id", F.explode(sides).alias("_s")).select(
+            "_bucket", "_place", "doc_id", "_s.side", "_s.text"
         ),
-        ["_bucket", "_place", "side"],
+        ["_bucket", "_place", "doc_id", "side"],
     )
     pairs = voted.groupBy("_bucket", "_place").agg(
         F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("fingerprint"),
