@@ -212,7 +212,7 @@ def test_kmeans_and_pca(spark):
 
 def test_topics_give_a_label_per_row(spark):
     x, _ = blobs(10, dim=4)
-    fit = fit_topics(frame(spark, x), 3, max_iterations=3)
+    fit = fit_topics(frame(spark, x), 3, passes=3)
     assert fit.labels.where("label BETWEEN 0 AND 2").count() == len(x)
     assert np.isfinite(fit.perplexity) and np.isfinite(fit.log_likelihood)
 

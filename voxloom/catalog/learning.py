@@ -265,7 +265,7 @@ def m9_graph(spark, folder):
 @query("m10_spectral_layout")
 def m10(spark, folder):
     graph = fuzzy_graph(nearest_neighbours(I.embeddings(spark, folder), 14), 15)
-    return spectral_layout(graph, 2, rounds=12)
+    return spectral_layout(graph, 2)
 
 
 @query("m11_kmeans")
@@ -448,7 +448,7 @@ def t12(spark, folder):
 
 @query("m19_topics")
 def m19(spark, folder):
-    fit = fit_topics(I.embeddings(spark, folder).drop("label"), 5, max_iterations=20)
+    fit = fit_topics(I.embeddings(spark, folder).drop("label"), 5)
     return fit.labels.select(
         "review_id", "label", F.lit(fit.perplexity > 0).alias("has_perplexity")
     )

@@ -247,8 +247,8 @@ def t8(spark, folder):
 
 @query(
     "t8_position_vector",
-    f"{_COVERED} SELECT r.review_id, coalesce(list_sort(list(position)"
-    " FILTER (position < 120))::VARCHAR, '[]') AS slots FROM reviews r LEFT JOIN c USING (review_id)"
+    f"{_COVERED} SELECT r.review_id, coalesce(list_sort(list(DISTINCT position % 120)"
+    " FILTER (position IS NOT NULL))::VARCHAR, '[]') AS slots FROM reviews r LEFT JOIN c USING (review_id)"
     " GROUP BY r.review_id",
 )
 def t8_vector(spark, folder):

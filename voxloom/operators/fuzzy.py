@@ -37,6 +37,7 @@ class FuzzyFit:
     iterations: int
     fpc: float
     objective: float
+    converged: bool = True
 
     def memberships(self, df: DataFrame, features: str = "features", out: str = "membership") -> DataFrame:
         """Add the membership array of every row."""
@@ -130,9 +131,11 @@ def fit_fuzzy(
         if converged:
             break
     points.unpersist()
+    if not converged:
+        log.warning("k=%s: not converged after %s rounds", k, max_iterations)
     if state["fpc"] - 1 / k < 1e-3:
         log.warning("k=%s: the centres have collapsed, every membership is near 1/k", k)
-    return FuzzyFit(before, m, round_no, float(state["fpc"]), float(state["objective"]))
+    return FuzzyFit(before, m, round_no, float(state["fpc"]), float(state["objective"]), converged)
 
 
 def assigned_clusters(membership: Column, threshold: float = 0.3) -> Column:

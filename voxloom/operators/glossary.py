@@ -123,12 +123,15 @@ def position_vector(
     key: str = "review_id",
     out: str = "rp_vector",
 ) -> DataFrame:
-    """0/1 vector of ``size`` slots: the covered word positions below ``size``."""
+    """0/1 vector of ``size`` slots: the covered word positions, counted round and round.
+
+    Position p is in slot p mod ``size``, so a text of at most ``size`` words has its
+    own positions, and every hit of a longer text is in the vector too.
+    """
     covered = (
         covered_positions(df, glossary, text, key)
-        .where(F.col("position") < size)
         .groupBy(key)
-        .agg(F.collect_set("position").alias("_set"))
+        .agg(F.collect_set(F.col("position") % size).alias("_set"))
     )
     slots = F.transform(
         F.sequence(F.lit(0), F.lit(size - 1)),

@@ -18,8 +18,6 @@ from voxloom.operators.tiles import matrix, over_all_pairs, squared_distances
 # The scores of a run that cannot be judged.
 SENTINEL = (-1.0, 0.0, float("inf"))
 
-EXACT_ROWS = 200_000
-
 
 def _distance_sums(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
     """Per point, the sum of its distances to each cluster of the other tile."""
@@ -162,19 +160,17 @@ def clustering_metrics(
     features: str = "features",
     label: str = "label",
     key: str = "review_id",
-    mode: str = "auto",
+    mode: str = "exact",
 ) -> DataFrame:
     """One row: the three scores without noise points, or the sentinel.
 
     ``mode`` names the silhouette: ``exact`` compares all points, ``squared`` is
-    linear, ``auto`` is exact up to EXACT_ROWS rows. ``silhouette_mode`` in the
-    result says which one was used.
+    another score that is linear in them. The number of rows never changes which;
+    ``silhouette_mode`` in the result repeats it.
     """
-    require_choice("mode", mode, ("auto", "exact", "squared"))
+    require_choice("mode", mode, ("exact", "squared"))
     clean = drop_noise(df.select(key, features, label), label).persist()
     n, k = clean.agg(F.count(F.lit(1)), F.count_distinct(label)).first()
-    if mode == "auto":
-        mode = "exact" if n <= EXACT_ROWS else "squared"
     if n < 2 or k < 2 or k >= n:
         scores = SENTINEL
         mode = "none"

@@ -13,6 +13,7 @@ from voxloom.operators.glossary import count_vector, position_vector, relevant_c
 from voxloom.operators.scoring import knowledge_kind, score_with_fitted
 
 HASHES = 1 << 14
+MLP_HASHES = 512
 POSITIONS = 120
 
 
@@ -29,14 +30,16 @@ def with_knowledge(
     return position_vector(df, glossary, POSITIONS, text, out="knowledge")
 
 
-def classifier(knowledge: str = "None", mlp: bool = False, hashes: int | None = None) -> Pipeline:
+def classifier(
+    knowledge: str = "None", mlp: bool = False, hashes: int = HASHES, mlp_hashes: int = MLP_HASHES
+) -> Pipeline:
     """Hashed TF-IDF words, plus the glossary vector, under a logistic head.
 
-    ``mlp`` puts two hidden layers under the output; its input layer is the
-    hash width, so a smaller width is used.
+    ``mlp`` puts two hidden layers under the output; its input layer has
+    ``mlp_hashes`` hash slots, the linear head has ``hashes``.
     """
     kind = knowledge_kind(knowledge)
-    width = hashes or (512 if mlp else HASHES)
+    width = mlp_hashes if mlp else hashes
     inputs = ["_tfidf"] + ([] if kind == "None" else ["knowledge"])
     extra = {"None": 0, "RC": 1, "RP": POSITIONS}[kind]
     if mlp:

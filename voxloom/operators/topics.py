@@ -33,16 +33,20 @@ class TopicFit:
 
 
 def fit_topics(
-    df: DataFrame, k: int, features: str = "features", seed: int = 42, max_iterations: int = 50,
-    batch_rows: int = 128,
+    df: DataFrame, k: int, features: str = "features", seed: int = 42, passes: int = 50,
+    share: float = 0.5,
 ) -> TopicFit:
-    """Online LDA over the scaled vectors; the label is the strongest topic."""
+    """Online LDA over the scaled vectors; the label is the strongest topic.
+
+    The fit sees every row about ``passes`` times, in batches that hold ``share``
+    of them, whatever their number.
+    """
     counted = as_counts(df, features).withColumn(
         "_counts", array_to_vector(F.col("counts").cast("array<double>"))
     ).persist()
-    share = min(1.0, max(batch_rows / max(counted.count(), 1), 0.05))
+    rounds = max(1, round(passes / share))
     model = LDA(
-        k=k, seed=seed, maxIter=max_iterations, optimizer="online", learningOffset=10.0,
+        k=k, seed=seed, maxIter=rounds, optimizer="online", learningOffset=10.0,
         learningDecay=0.7, subsamplingRate=share, featuresCol="_counts",
         topicDistributionCol="_topics",
     ).fit(counted)
