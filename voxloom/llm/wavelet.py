@@ -46,9 +46,9 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             one = (left & kind(1 << b)).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
-            low = left[~one]
+            low = left.take(np.flatnonzero(~one))
             zeros.append(len(low))
-            left = np.concatenate((low, left[one]))
+            left = np.concatenate((low, left.take(np.flatnonzero(one))))
         return cls(len(ids), zeros, planes)
 
     def to_bytes(self) -> bytes:
@@ -82,8 +82,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             z = self.zeros[level]
             out = np.empty_like(left)
-            out[~one] = left[:z]
-            out[one] = left[z:] | kind(1 << (bits - 1 - level))
+            out[np.flatnonzero(~one)] = left[:z]
+            out[np.flatnonzero(one)] = left[z:] | kind(1 << (bits - 1 - level))
             left = out
         return left
 
