@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_STORED: dict[str, list[str]] = {}
+
+
 def local_session(cpus: str = "8", app: str = "voxloom") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     spark = (
@@ -39,6 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
         if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="voxloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -57,9 +63,23 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> int:
+    """Delete the tables this application has ``stored``; returns how many.
+
+    For the end of a run: results that still read one of them are lost with it.
+    """
+    context = spark.sparkContext
+    paths = _STORED.pop(context.applicationId, [])
+    for path in paths:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Repartition a scan that has fewer splits than the cluster has cores.
 
