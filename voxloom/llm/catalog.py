@@ -80,4 +80,24 @@ QUERIES = {
     "op10_sentence_spans": op10_sentence_spans,
 }
 
-SQL: dict[str, str] = {}
+# All pairs of texts that share a shingle, counted on the full sets.
+SQL: dict[str, str] = {
+    "op7_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(
+    regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+  g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1),
+    lambda i: array_to_string(ws[i:i + 4], ' ')))) AS s FROM w WHERE len(ws) > 0),
+  sets AS (SELECT s, min(doc_id) AS node, count(*) AS n_copies FROM g GROUP BY s),
+  grams AS (SELECT node, len(s) AS n, unnest(s) AS t FROM sets),
+  common AS (SELECT a.node AS a, b.node AS b, min(a.n) + min(b.n) AS n, count(*) AS c FROM grams a
+    JOIN grams b ON a.t = b.t AND a.node < b.node GROUP BY a.node, b.node),
+  near AS (SELECT a, b FROM common WHERE 5 * c >= 4 * (n - c)),
+  linked AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+  reach(node, root) AS (SELECT node, node FROM sets UNION SELECT linked.b, reach.root FROM reach
+    JOIN linked ON linked.a = reach.node WHERE linked.b > reach.root),
+  classes AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+  counts AS (SELECT a AS node, count(*) AS n_links FROM linked GROUP BY a)
+SELECT d.doc_id, coalesce(root, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links,
+  coalesce(n_copies, 1) AS n_copies, coalesce(d.doc_id = root, true) AS is_first FROM documents d
+  LEFT JOIN g USING (doc_id) LEFT JOIN sets USING (s) LEFT JOIN classes USING (node)
+  LEFT JOIN counts USING (node)""",
+}
