@@ -1,8 +1,16 @@
 """The registered queries and the SQL each one is checked against."""
 
-from voxloom.catalog import experiments, learning, relational, requirements, sources, texts
+from voxloom.catalog import (
+    experiments,
+    invariants,
+    learning,
+    relational,
+    requirements,
+    sources,
+    texts,
+)
 
-MODULES = [sources, relational, experiments, texts, requirements, learning]
+MODULES = [sources, relational, experiments, texts, requirements, learning, invariants]
 
 
 def all_queries() -> dict:

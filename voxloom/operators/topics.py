@@ -34,7 +34,7 @@ class TopicFit:
 
 def fit_topics(
     df: DataFrame, k: int, features: str = "features", seed: int = 42, passes: int = 50,
-    share: float = 0.5,
+    share: float = 1.0,
 ) -> TopicFit:
     """Online LDA over the scaled vectors; the label is the strongest topic.
 
