@@ -30,7 +30,7 @@ BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Places of a unit fit a long; longer units go to the library.
 LONGEST_UNIT = 60
-PART_CHARS = 32_000_000
+PART_CHARS = 4_000_000
 UNKNOWN_PENALTY = 10.0
 #: A piece table is broadcast, so its size is checked.
 MOST_PIECES = 1_000_000
@@ -285,7 +285,8 @@ def encode(docs: DataFrame, model: PieceModel, part_chars: int = PART_CHARS) ->
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    n_parts = max(shuffle_partitions(spark), math.ceil(chars / part_chars))
+    # Several parts for each task, so that their sizes even out.
+    n_parts = max(4 * shuffle_partitions(spark), math.ceil(chars / part_chars))
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)).cast("int")
     dealt = docs.select("doc_id", "text", part.alias("part")).repartition(n_parts, "part")
 
@@ -294,8 +295,8 @@ def encode(docs: DataFrame, model: PieceModel, part_chars: int = PART_CHARS) ->
         for batch in batches:
             for own, text in zip(batch["part"], batch["text"]):
                 seen.setdefault(own, set()).update(units_of(text))
-        for own, units in seen.items():
-            ordered = sorted(u for u in units if len(u) <= LONGEST_UNIT)
+        for own in list(seen):
+            ordered = sorted(u for u in seen.pop(own) if len(u) <= LONGEST_UNIT)
             for start in range(0, len(ordered), 1 << 16):
                 some = ordered[start : start + (1 << 16)]
                 yield pd.DataFrame(
@@ -305,7 +306,9 @@ def encode(docs: DataFrame, model: PieceModel, part_chars: int = PART_CHARS) ->
     requests = dealt.mapInPandas(asked, "part int, number int, unit string").repartition(
         n_parts, "unit"
     )
-    answers = encode_units(requests.select("unit").distinct(), model)
+    # The other columns are read too, so that both readers share one shuffle of requests.
+    distinct = requests.groupBy("unit").agg(F.min("part").alias("_p"), F.min("number").alias("_n"))
+    answers = encode_units(distinct.where("_p >= 0 and _n >= 0").select("unit"), model)
     answered = requests.join(answers, "unit").select("part", "number", "ids")
     path = model.path
 
