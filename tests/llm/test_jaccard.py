@@ -53,8 +53,8 @@ def check(df, rows):
 def test_classes_and_links_equal_all_pairs(docs, rows):
     want = check(docs, rows)
     assert max(w[2] for w in want) >= 8
-    kept = J.one_of_each_class(docs.withColumnRenamed("lang", "node"))
-    assert kept.columns == ["doc_id", "text", "node", "source", "n_chars"]
+    kept = J.one_of_each_class(docs.withColumnRenamed("lang", "_key"))
+    assert kept.columns == ["doc_id", "text", "_key", "source", "n_chars"]
     alone = sum(not (r["text"] or "").split() for r in rows)
     classes = {w[1] for w, r in zip(want, rows) if (r["text"] or "").split()}
     # Two different texts share the id 900007, so two classes have it.

@@ -61,11 +61,13 @@ def test_tree_of_several_levels_keeps_the_mass(spark):
 
 
 def test_mixed_rows_repeat_as_drawn(docs):
-    extra = docs.withColumnsRenamed({"lang": "size", "n_chars": "copies"})
+    extra = docs.withColumnsRenamed({"lang": "_key", "n_chars": "_copies"})
     mixed = M.mix_documents(extra, WEIGHTS)
     assert mixed.columns == extra.columns
     drawn = M.mix_sizes(M.sized(docs), WEIGHTS)
     assert mixed.count() == drawn.agg({"copies": "sum"}).first()[0]
+    given = {(r["doc_id"], r["text"], r["_key"], r["_copies"]) for r in extra.collect()}
+    assert {(r["doc_id"], r["text"], r["_key"], r["_copies"]) for r in mixed.collect()} <= given
 
 
 def test_empty_table(empty):

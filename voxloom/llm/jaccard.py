@@ -357,12 +357,14 @@ def near_duplicates(
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are the first of their class, one for each class."""
     firsts = near_duplicates(docs, threshold).where("is_first").select(F.col("key").alias("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    # The columns of a row travel as one, so no name of theirs meets one in here.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.select(
+        whole.alias("row"), has_words.alias("_words"), F.xxhash64("doc_id", "text").alias("_key")
+    )
     joined = keyed.join(firsts, "_key", "left_semi")
     place = F.row_number().over(W.partitionBy("_key").orderBy("_key"))
     # Rows that repeat are copies too; those without words are classes of their own.
-    first = (F.col("_place") == 1) | ~F.coalesce(F.col("text"), F.lit("")).rlike(
-        r"[^\x20\x09-\x0D]"
-    )
-    kept = joined.withColumn("_place", place).where(first)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = joined.withColumn("_place", place).where((F.col("_place") == 1) | ~F.col("_words"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -221,17 +221,18 @@ def mix_documents(docs: DataFrame, weights: list[float], ceiling: float = 3.0) -
         .groupBy(F.col("key").alias("_key"))
         .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     )
-    keyed = docs.withColumn("_key", row_key())
+    # The columns of a row travel as one, so no name of theirs meets one in here.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(whole.alias("row"), row_key().alias("_key"))
     joined = keyed.join(drawn.where("_copies > 0"), "_key")
     # Equal rows: the first ones take what doesn't divide evenly.
-
     place = F.row_number().over(W.partitionBy("_key").orderBy("_copies"))
     own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(
         place <= F.col("_copies") % F.col("_rows"), 1
     ).otherwise(0)
     repeated = joined.withColumn("_times", F.array_repeat(F.lit(0), own.cast("int")))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return repeated.select(*names, F.explode("_times").alias("_time")).drop("_time")
+    repeated = repeated.select("row", F.explode("_times").alias("_time"))
+    return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix_report(docs: DataFrame, weights: list[float], ceiling: float = 3.0) -> DataFrame:
