@@ -52,8 +52,10 @@ def test_viterbi_finds_the_best_score_of_a_unigram_model(spark, unigram, rows):
     texts = {w for r in rows[:40] for w in (r["text"] or "").split()[:12]}
     texts = sorted(w for w in texts if not any(library.is_byte(i) for i in library.encode(w)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = P.encode(df, model).collect()
+    encoded = P.encode(df, model)
+    got = encoded.withColumn("back", P.decode(encoded["ids"], model)).collect()
     assert len(got) == len(texts) > 100
+    assert all(r["back"] == r["text"] for r in got)
     for r in got:
         best = library.nbest_encode_as_ids(r["text"], 5)
         assert total(r["ids"]) == max(map(total, best))

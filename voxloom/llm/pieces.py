@@ -276,11 +276,29 @@ def _encode_long(path: str, units: list[str]) -> list[list[int]]:
     return out
 
 
-def encode(docs: DataFrame, model: PieceModel, part_chars: int = PART_CHARS) -> DataFrame:
+def _decoder(model: PieceModel):
+    """A function from an array of ids to its text."""
+    number = {i: b for b, i in enumerate(model.bytes_ids)}
+    raw = [
+        bytes([number[i]]) if i in number else p.replace(BLANK, " ").encode("utf-8")
+        for i, p in enumerate(model.pieces)
+    ]
+
+    def text_of(ids: np.ndarray) -> str:
+        text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
+    return text_of
+
+
+def encode(
+    docs: DataFrame, model: PieceModel, part_chars: int = PART_CHARS, checked: bool = False
+) -> DataFrame:
     """``doc_id, text, ids`` of every row; ``ids`` are the piece ids of the whole text.
 
     A null or empty text has no ids. Rows that repeat are encoded each; an empty table
     gives no rows; other columns are ignored. Parts hold about ``part_chars`` characters.
+    ``checked`` gives ``round_trip``, whether the decoded ids are the text, for the text.
     """
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
@@ -327,12 +345,17 @@ def encode(docs: DataFrame, model: PieceModel, part_chars: int = PART_CHARS) ->
         ids = [
             np.frombuffer(b"".join([known[u] for u in units]), dtype=np.int32) for units in split
         ]
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "text": pdf["text"], "ids": ids})
+        if not checked:
+            return pd.DataFrame({"doc_id": pdf["doc_id"], "text": pdf["text"], "ids": ids})
+        same = [
+            text_of(i) == (t or "").replace(BLANK, " ") for i, t in zip(ids, pdf["text"])
+        ]
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "round_trip": same})
 
+    text_of = _decoder(model) if checked else None
+    last = "ids array<int>, round_trip boolean" if checked else "text string, ids array<int>"
     together = dealt.groupBy("part").cogroup(answered.groupBy("part"))
-    return together.applyInPandas(
-        put_together, f"doc_id {doc_type}, text string, ids array<int>"
-    )
+    return together.applyInPandas(put_together, f"doc_id {doc_type}, {last}")
 
 
 def decode(ids: Column, model: PieceModel) -> Column:
@@ -340,21 +363,11 @@ def decode(ids: Column, model: PieceModel) -> Column:
 
     Null stays null; bytes that are no UTF-8 become replacement characters.
     """
-    number = {i: b for b, i in enumerate(model.bytes_ids)}
-    raw = [
-        bytes([number[i]]) if i in number else p.replace(BLANK, " ").encode("utf-8")
-        for i, p in enumerate(model.pieces)
-    ]
+    text_of = _decoder(model)
 
     @F.pandas_udf("string")
     def decoded(arrays: pd.Series) -> pd.Series:
-        out = []
-        for array in arrays:
-            if array is None:
-                out.append(None)
-                continue
-            text = b"".join([raw[i] for i in array.tolist()]).decode("utf-8", "replace")
-            out.append(text[1:] if text.startswith(" ") else text)
+        out = [None if array is None else text_of(array) for array in arrays]
         return pd.Series(out, dtype="object")
 
     return decoded(ids)
@@ -365,11 +378,5 @@ def encode_report(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     The blank mark U+2581 of a text is the same piece as a blank and comes back as one.
     """
-    encoded = encode(docs, model)
-    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(BLANK), F.lit(" "))
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        "ids",
-        (decode(F.col("ids"), model) == plain).alias("round_trip"),
-    )
+    encoded = encode(docs, model, checked=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
