@@ -1,5 +1,7 @@
 """Sentence runs against a plain pass, and planted passages."""
 
+import random
+
 from pyspark.sql import functions as F
 from voxloom.llm import sentences as S
 
@@ -63,3 +65,53 @@ def test_empty_table_and_clashing_names(spark, empty):
     df = spark.createDataFrame([(1, "a", 5, "k")], "doc_id long, text string, n_removed int, key string")
     (row,) = S.remove_repeats(df).collect()
     assert row.asDict() == {"doc_id": 1, "text": "a", "key": "k", "n_sentences": 1, "n_removed": 0}
+
+
+def _passages(n):
+    """``(passage, first document, second document)``: edges mid-sentence, 51-70 words."""
+    rng = random.Random(5)
+
+    def some(count):
+        return [f"w{rng.randrange(400)}" for _ in range(count)]
+
+    for i in range(n):
+        shared = some(rng.randrange(51, 71))
+        # One sentence, or two with a mark in any place.
+        if i % 2:
+            shared[rng.randrange(len(shared) - 1)] += "."
+        docs = []
+        for _ in range(2):
+            before, after = some(rng.randrange(1, 40)), some(rng.randrange(1, 40))
+            own = " ".join(some(60)) + ". "
+            docs.append(own + " ".join(before + shared + after) + ". " + " ".join(some(60)) + ".")
+        yield " ".join(shared), *docs
+
+
+def test_passages_inside_sentences_are_found(spark):
+    cases = list(_passages(150))
+    texts = [t for _, *two in cases for t in two]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in S.remove_repeats(df).collect()}
+    for i, (passage, first, second) in enumerate(cases):
+        assert out[2 * i] == first
+        left = out[2 * i + 1]
+        assert passage not in left
+        # Only words of the passage go.
+        before, after = second.split(passage)
+        assert left.startswith(before) and left.endswith(after)
+
+
+def test_ends_and_quoted_short_texts_are_found(spark):
+    first = "Ten words are in the first sentence of this text. "
+    texts = [
+        first + "The second one has ten words in it as well. Bye now.",
+        "Before it stands this. " + first + "The second one has ten words in it as well. Bye now. Then more.",
+        "Far away. So it goes. Nobody knew why.",
+        "Here now. Far away. So it goes. Nobody knew why. And on.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in S.remove_repeats(df).collect()}
+    # A text of two sentences is found inside a longer one, with its short last sentence.
+    assert out[1] == "Before it stands this. Then more."
+    # Three whole sentences of eight words still are a run.
+    assert out[2] == texts[2] and out[3] == "Here now. And on."
