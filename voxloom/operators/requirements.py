@@ -54,13 +54,29 @@ def requirement_comments(requirements: DataFrame) -> DataFrame:
     )
 
 
-def traceability(requirements: DataFrame, clustered: DataFrame) -> DataFrame:
-    """Cited comments with their text and cluster; an unknown number has nulls."""
-    return requirement_comments(requirements).join(
+def _cited(requirements: DataFrame, citations: DataFrame | None) -> DataFrame:
+    if citations is None:
+        return requirement_comments(requirements)
+    return citations.select("requirement_id", "ID").join(
+        requirements.select("requirement_id").distinct(), "requirement_id", "left_semi"
+    )
+
+
+def traceability(
+    requirements: DataFrame, clustered: DataFrame, citations: DataFrame | None = None
+) -> DataFrame:
+    """Cited comments with their text and cluster; an unknown number has nulls.
+
+    The column of a unified requirement lists its first comments only; ``citations`` of
+    ``consolidate_tables`` has all of them and is read in its place.
+    """
+    return _cited(requirements, citations).join(
         clustered.select("ID", "Review", "Cluster"), "ID", "left"
     )
 
 
-def dangling_citations(requirements: DataFrame, clustered: DataFrame) -> DataFrame:
-    """Cited numbers that no clustered review has."""
-    return requirement_comments(requirements).join(clustered.select("ID"), "ID", "left_anti")
+def dangling_citations(
+    requirements: DataFrame, clustered: DataFrame, citations: DataFrame | None = None
+) -> DataFrame:
+    """Cited numbers that no clustered review has; ``citations`` as in ``traceability``."""
+    return _cited(requirements, citations).join(clustered.select("ID"), "ID", "left_anti")

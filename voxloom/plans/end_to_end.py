@@ -111,7 +111,7 @@ def mine_requirements(
     unified_answers = stored(respond.respond(documents, make_responder))
     keyed = stored(keyed_requirements(initial, unified_answers))
     unified, citations = consolidate_tables(keyed, threshold=merge_threshold)
-    unified = stored(unified)
+    unified, citations = stored(unified), stored(citations)
     tables = {
         "scored_reviews": scored,
         "clustered_reviews": clustered,
@@ -135,6 +135,9 @@ def mine_requirements(
         ),
     }
     if output:
-        names = ("clustered_reviews", "initial_requirements", "unified_requirements")
+        names = (
+            "clustered_reviews", "initial_requirements", "unified_requirements",
+            "requirement_citations",
+        )
         write_run_tables(run_folder(output), **{n: tables[n] for n in names})
     return tables

@@ -38,7 +38,7 @@ def write_embeddings(
 
 
 def write_run_tables(run_folder: str, **tables: DataFrame) -> dict[str, str]:
-    """Clustered, initial and unified tables of a run, one folder each."""
+    """Clustered, initial, unified and citation tables of a run, one folder each."""
     return {name: write_csv(df, f"{run_folder}/{name}.csv") for name, df in tables.items()}
 
 
