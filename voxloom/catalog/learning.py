@@ -271,7 +271,7 @@ def m10(spark, folder):
 @query("m11_kmeans")
 def m11(spark, folder):
     points = I.embeddings(spark, folder)
-    fit = fit_kmeans(points, 10, restarts=3)
+    fit = fit_kmeans(points, 10, restarts=10)
     return fit.assign(points).select(
         "review_id", F.col("label").alias("cluster"), F.round(F.lit(fit.inertia), 4).alias("inertia")
     )
@@ -545,7 +545,7 @@ def m23(spark, folder):
 
 @query("m24_choose_k")
 def m24(spark, folder):
-    return choose_k(I.embeddings(spark, folder), "k-means", 3, 5)[2]
+    return choose_k(I.embeddings(spark, folder), "k-means")[2]
 
 
 def _embedded_reviews(spark, folder):
@@ -554,12 +554,12 @@ def _embedded_reviews(spark, folder):
 
 @query("m25_cluster_reviews")
 def m25(spark, folder):
-    return cluster_reviews(_embedded_reviews(spark, folder), "k-means", "pca", 3, 5)
+    return cluster_reviews(_embedded_reviews(spark, folder), "k-means", "pca")
 
 
 @query("m25_cluster_reviews_fuzzy")
 def m25_fuzzy(spark, folder):
-    return cluster_reviews(_embedded_reviews(spark, folder), "fuzzy c-means", "pca", 3, 4)
+    return cluster_reviews(_embedded_reviews(spark, folder), "fuzzy c-means", "pca")
 
 
 @query("m26_one_combination")
@@ -568,7 +568,7 @@ def m26(spark, folder):
         "combination_id": "kmeans_none_compNone_k4", "algorithm": "kmeans",
         "reduction_method": "none", "n_components": None, "k_value": 4,
     }
-    labelled, record = run_combination(I.embeddings(spark, folder), combination, restarts=2)
+    labelled, record = run_combination(I.embeddings(spark, folder), combination)
     return labelled.select(
         "review_id", "label", F.lit(record[0]).alias("combination_id"),
         F.lit(float(record[6])).alias("silhouette_score"),
@@ -578,14 +578,14 @@ def m26(spark, folder):
 @query("m27_study")
 def m27(spark, folder):
     points = I.embeddings(spark, folder).drop("label")
-    plan = X.grid(spark, 64, 3, 3, reductions=["pca"], components=[2], dbscan=[(0.05, 5)])
-    return run_study(points, plan, restarts=1)
+    size, rows = points.agg(F.max(F.size("features")), F.count(F.lit(1))).first()
+    return run_study(points, X.grid(spark, size, rows_for_umap=rows))
 
 
 @query("m28_fuzzy_study")
 def m28(spark, folder):
     df = _embedded_reviews(spark, folder)
-    return fuzzy_study(df, 3, 4, reductions=["none", "pca"], components=[2])
+    return fuzzy_study(df)
 
 
 _PROMPTS = (
@@ -616,6 +616,6 @@ def m30(spark, folder):
 def m31(spark, folder):
     tables = mine_requirements(
         I.reviews(spark, folder), "a notes app", echo_responder, length_model, letter_encoder,
-        reduction="pca", k_min=3, k_max=4, max_comments=20,
+        reduction="pca", max_comments=20,
     )
     return tables["unified_requirements"]
