@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and the SQL that states their results."""
+"""The registered queries of the operators and the SQL that states their results."""
 
 from __future__ import annotations
 
@@ -7,7 +7,19 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import chat, fingerprints, jaccard, languages, mixing, pieces, quality, rules, sentences, wavelet
+from voxloom.llm import (
+    chat,
+    fingerprints,
+    jaccard,
+    languages,
+    mixing,
+    negatives,
+    pieces,
+    quality,
+    rules,
+    sentences,
+    wavelet,
+)
 from voxloom.session import shared_folder
 
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
@@ -67,6 +79,10 @@ def op10_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.remove_repeats(docs)
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine_hard_negatives(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
@@ -78,6 +94,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_roles": op9_chat_roles,
     "op10_sentence_spans": op10_sentence_spans,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 # All pairs of texts that share a shingle, counted on the full sets.
@@ -100,4 +117,20 @@ SELECT d.doc_id, coalesce(root, d.doc_id) AS class_id, coalesce(n_links, 0) AS n
   coalesce(n_copies, 1) AS n_copies, coalesce(d.doc_id = root, true) AS is_first FROM documents d
   LEFT JOIN g USING (doc_id) LEFT JOIN sets USING (s) LEFT JOIN classes USING (node)
   LEFT JOIN counts USING (node)""",
+    # Plain inner products of every anchor and every row.
+    "op13_hard_negatives": r"""WITH v AS (SELECT DISTINCT vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS other,
+    CAST(list_inner_product(a.q, c.q) AS BIGINT) AS score FROM v a JOIN v c
+    ON a.vec_id % 100 = 0 AND (a.vec_id <> c.vec_id OR a.label <> c.label OR a.q <> c.q)),
+  pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id
+    ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score,
+  score AS negative_score FROM pos JOIN s USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+  QUALIFY rank <= 10""",
 }
