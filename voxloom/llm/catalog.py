@@ -14,6 +14,7 @@ from voxloom.llm import (
     languages,
     mixing,
     negatives,
+    packing,
     pieces,
     quality,
     rules,
@@ -79,6 +80,11 @@ def op10_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.remove_repeats(docs)
 
 
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer)
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine_hard_negatives(table(spark, folder, "embeddings"))
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_roles": op9_chat_roles,
     "op10_sentence_spans": op10_sentence_spans,
+    "op12_best_fit_packing": op12_best_fit_packing,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
