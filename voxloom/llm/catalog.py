@@ -19,6 +19,7 @@ from voxloom.llm import (
     quality,
     rules,
     sentences,
+    spelling,
     wavelet,
 )
 from voxloom.session import shared_folder
@@ -80,6 +81,11 @@ def op10_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.remove_repeats(docs)
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return spelling.group_variants(docs)
+
+
 def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer)
@@ -100,6 +106,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_roles": op9_chat_roles,
     "op10_sentence_spans": op10_sentence_spans,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_best_fit_packing": op12_best_fit_packing,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -140,4 +147,32 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
   score AS negative_score FROM pos JOIN s USING (anchor_id)
   WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
   QUALIFY rank <= 10""",
+    # The checksum runs bit by bit over the bytes; neighbours share a word with a code point
+    # deleted (both at one place: a replacement; one only: an insertion).
+    "op11_spelling_variants": r"""WITH RECURSIVE runs AS (SELECT doc_id,
+    unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+  lowered AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    AS run, count(*) AS n FROM runs GROUP BY ALL),
+  bits AS (SELECT run, n, flatten(list_transform(flatten(list_transform(
+      string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)),
+      lambda b: list_transform(range(8), lambda i: (b >> i) & 1))) AS b FROM lowered),
+  sums AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(b AS BIGINT[])), lambda c, x:
+      xor(c >> 1, 3988292384 * xor(c & 1, x))), 4294967295) AS h FROM bits),
+  noisy AS (SELECT CASE WHEN h % 199 <> 0 THEN run ELSE substring(run, 1, CAST(h % length(run) AS INTEGER))
+      || substring(run, CAST(h % length(run) AS INTEGER) + 2) END AS word, n FROM sums),
+  words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM noisy WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+  skips AS (SELECT word, n, i, substring(word, 1, CAST(i AS INTEGER)) || substring(word, CAST(i AS INTEGER) + 2) AS rest
+    FROM words, unnest(range(length(word))) AS t(i)),
+  near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM skips a JOIN skips b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM words a JOIN skips s ON s.rest = a.word JOIN words b ON b.word = s.word
+    UNION SELECT s.word, b.word, b.n FROM skips s JOIN words b ON s.rest = b.word),
+  best AS (SELECT word, count(*) AS n_near, max(other_n) AS most,
+    arg_min(other, {'n': -other_n, 'w': encode(other)}) AS other FROM near GROUP BY word),
+  formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN other END AS form,
+    CASE WHEN most >= 5 * w.n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)),
+  steps(word, last) AS (SELECT word, word FROM formed UNION
+    SELECT steps.word, formed.form FROM steps JOIN formed ON formed.word = steps.last WHERE formed.form IS NOT NULL),
+  ends AS (SELECT steps.word, last AS root FROM steps JOIN formed ON formed.word = steps.last WHERE formed.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)""",
 }
