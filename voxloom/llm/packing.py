@@ -15,11 +15,16 @@ own, a null ``doc_id`` stays null. Other columns are ignored. An empty table giv
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import struct
 import sys
 import types
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,8 +36,9 @@ END_ID = 0
 SEQUENCE_TOKENS = 2048
 OPEN_SEQUENCES = 2048
 FAN_IN = 16
-CACHED_PIECES, CACHED_LENGTH = 1 << 18, 64
+CACHED_PIECES, CACHED_LENGTH = 1 << 19, 64
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(9)]
 _NODE_SHIFT, _ROUND_SHIFT = 28, 58
 _COLUMNS = "piece int, start long, length long, ids_crc32 long"
 
@@ -84,38 +90,93 @@ class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library that drops white space.
 
     Such a tokenizer never joins what a blank or a line end parts, so the ids of a piece
-    between them are looked up where it was seen before; the library encodes the others.
+    between them are looked up where it was seen before. A new piece of plain Latin letters
+    and signs is lowered and cut by the tokenizer's own pattern, and its cuts are looked up
+    in turn or given to the library's model; the library encodes every other piece whole.
     With ``special_as_text`` the strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
+        # A pool of threads in every worker would only fight the other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         if self._library(["a b\nc"]) != [b"".join(self._library(["a", "b", "c"]))]:
             raise ValueError("a tokenizer that drops white space is asked for")
+        self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        strings = [] if special_as_text else [t.content for t in added]
+        self.special = re.compile("|".join(map(re.escape, strings)) or "(?!)")
         self.known: dict[str, bytes] = {}
+        self.known_cuts: dict[str, bytes] = {}
+        self.cuts = self._own_cuts(json.loads(self.tokenizer.to_str()))
+        # Letters that have one lower-case form and no other composition.
+        self.plain = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+        # The byte-level alphabet shows the bytes that print as themselves, the others from 256 on.
+        shown = set(ByteLevel.alphabet())
+        others = [b for b in range(256) if chr(b) not in shown or b == 32]
+        self.letters = {b: 256 + i for i, b in enumerate(others)}
+
+    @staticmethod
+    def _own_cuts(spec: dict):
+        """The tokenizer's pattern, or None if it does more than lower a text and cut it."""
+        normal = (spec["normalizer"] or {}).get("normalizers", [])
+        cutting = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [n["type"] for n in normal] != ["NFC", "Replace", "Lowercase"] or len(cutting) != 2:
+            return None
+        split, level = cutting
+        if split["type"] != "Split" or not split["invert"] or split["behavior"] != "Removed":
+            return None
+        if level["type"] != "ByteLevel" or level["add_prefix_space"] or level["use_regex"]:
+            return None
+        # The letters and digits among the plain characters, in lower case.
+        pattern = split["pattern"]["Regex"].replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")
+        return None if r"\p" in pattern else re.compile(pattern)
 
     def _library(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [_little(e.ids) for e in found]
+
+    def _cut(self, cut: str) -> bytes:
+        found = self.known_cuts.get(cut)
+        if found is None:
+            shown = cut if cut.isascii() else cut.encode().decode("latin-1").translate(self.letters)
+            found = self.known_cuts[cut] = _little([t.id for t in self.model.tokenize(shown)])
+        return found
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        if len(self.known) > CACHED_PIECES:
+            self.known.clear()
+            self.known_cuts.clear()
+        found, others = {}, []
+        for piece in pieces:
+            if self.cuts and self.plain.fullmatch(piece) and not self.special.search(piece):
+                cuts = self.cuts.findall(piece.lower())
+                found[piece] = self._cut(cuts[0]) if len(cuts) == 1 else b"".join(map(self._cut, cuts))
+            else:
+                others.append(piece)
+        if others:
+            found |= zip(others, self._library(others))
+        self.known.update({p: ids for p, ids in found.items() if len(p) <= CACHED_LENGTH})
+        return found
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
         pieces = text.replace("\n", " ").split(" ")
-        known = self.known
-        out = [known.get(p) for p in pieces]
+        out = [*map(self.known.get, pieces)]
         if None in out:
-            new = list(dict.fromkeys([p for p, ids in zip(pieces, out) if ids is None]))
-            fresh = dict(zip(new, self._library(new)))
+            fresh = self._new(list(dict.fromkeys([p for p, ids in zip(pieces, out) if ids is None])))
             out = [fresh[p] if ids is None else ids for p, ids in zip(pieces, out)]
-            if len(known) > CACHED_PIECES:
-                known.clear()
-            known.update({p: ids for p, ids in fresh.items() if len(p) <= CACHED_LENGTH})
         return b"".join(out)
 
 
+def _little(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes() if len(ids) > 8 else _PACK[len(ids)](*ids)
+
+
 def worker_encoder(path: str, special_as_text: bool) -> WordEncoder:
     """The encoder of this Python worker, which serves one task after the other."""
     name = "voxloom_worker_word_encoders"
