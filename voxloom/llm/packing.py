@@ -38,7 +38,7 @@ OPEN_SEQUENCES = 2048
 FAN_IN = 16
 CACHED_PIECES, CACHED_LENGTH = 1 << 19, 64
 
-_PACK = [struct.Struct(f"<{n}I").pack for n in range(9)]
+_FORMATS = [f"<{n}I" for n in range(9)]
 _NODE_SHIFT, _ROUND_SHIFT = 28, 58
 _COLUMNS = "piece int, start long, length long, ids_crc32 long"
 
@@ -174,7 +174,7 @@ class WordEncoder:
 
 
 def _little(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes() if len(ids) > 8 else _PACK[len(ids)](*ids)
+    return np.array(ids, dtype="<u4").tobytes() if len(ids) > 8 else struct.pack(_FORMATS[len(ids)], *ids)
 
 
 def worker_encoder(path: str, special_as_text: bool) -> WordEncoder:
