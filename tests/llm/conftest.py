@@ -27,6 +27,7 @@ def odd_rows():
         (900006, "日本語のテキスト。二つ目の文。三つ目の文です。", "ja", "ｓ", 3),
         (900007, "one", "en", "src1", 3),
         (900007, "same id, other text", "en", "src1", 3),
+        (900009, "<|endoftext|>one<|endoftext|><|endoftext|> two", "en", "src1", 3),
         (900008, "😀 <|end|> # * $ % & | < >   ▁ x", "en", "src1", 3),
     ]
     return rows

@@ -11,13 +11,14 @@ from voxloom.llm import wavelet as V
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
     "", " ", "a  b", "it's we'll\n\n x \t y", "日本語 テキスト é ü \x00\x7f\x80", " lead", "trail ",
-    "<|endoftext|> a", "a \nb", "a\n b", "a   b c", "x\n  y 12 345,67!!", "　wide  　", "😀😀 ok",
+    "<|endoftext|> a", "a<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|endoftext|>b", "in<|endoftext|>word  <|endoftext|>\n x",
+    "<|endoftext", "<|endoftext|<|endoftext|>>", " <|endoftext|> ", "a \nb", "a\n b", "a   b c", "x\n  y 12 345,67!!", "　wide  　", "😀😀 ok",
 ]
 
 
-def library():
+def library(special_as_text=False):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
     return tokenizer
 
 
@@ -40,8 +41,9 @@ def test_access_rank_select(bits):
         matrix.select(7, np.array([matrix.count(7)]))
 
 
-def test_pieces_encode_as_the_library_does(rows):
-    tokenizer, encoder = library(), V.PieceEncoder(PATH)
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_pieces_encode_as_the_library_does(rows, special_as_text):
+    tokenizer, encoder = library(special_as_text), V.PieceEncoder(PATH, special_as_text)
     for text in ODD + [r["text"] or "" for r in rows[:60]]:
         got = np.frombuffer(encoder.encode(text), dtype=encoder.kind).tolist()
         assert got == tokenizer.encode(text, add_special_tokens=False).ids

@@ -171,9 +171,13 @@ class PieceEncoder:
     blank-separated piece are looked up where it was seen before; the model of the library
     encodes the others. Two blanks in a row, or one beside other white space, can belong to
     one cut, and texts with those are cut by the pattern itself.
+
+    As in the library, a text is first parted at the strings of added tokens, which are one
+    id each, and what stands between them is encoded by itself. With ``special_as_text``
+    those strings are ordinary text. Only texts that hold one pay for it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -183,9 +187,17 @@ class PieceEncoder:
         before = tokenizer.pre_tokenizer
         if not isinstance(before, ByteLevel) or before.add_prefix_space or tokenizer.normalizer:
             raise ValueError("a plain byte-level tokenizer is asked for")
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that take more than their own string are not read")
         self.model = tokenizer.model
         self.kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.bits = 16 if self.kind is np.uint16 else 32
+        shown = {} if special_as_text else added
+        self.added = {t.content: np.array([i], dtype=self.kind).tobytes() for i, t in shown.items()}
+        # The longest of those that begin at one place.
+        strings = sorted(self.added, key=len, reverse=True)
+        self.parts = regex.compile("(" + "|".join(map(regex.escape, strings)) + ")") if strings else None
         self.cuts = regex.compile(public_tokenizers.PATTERN)
         shown = ByteLevel.alphabet()
         # Bytes that print stand for themselves, the others for the code points from 256.
@@ -216,6 +228,14 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian numbers of ``kind``."""
+        if not any(t in text for t in self.added):
+            return self._ordinary(text)
+        parts = self.parts.split(text)
+        return b"".join(
+            [self.added[p] if i % 2 else self._ordinary(p) if p else b"" for i, p in enumerate(parts)]
+        )
+
+    def _ordinary(self, text: str) -> bytes:
         if self.blended.search(text):
             return b"".join([self._cut(c) for c in self.cuts.findall(text)])
         first, *rest = text.split(" ")
@@ -228,12 +248,13 @@ class PieceEncoder:
         return b"".join(out)
 
 
-def worker_encoder(path: str) -> PieceEncoder:
+def worker_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     """The encoder of this Python worker, which serves one task after the other."""
     name = "voxloom_worker_encoders"
     held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
-    if held.get("path") != path:
-        held["encoder"], held["path"] = PieceEncoder(path), path
+    key = (path, special_as_text)
+    if held.get("key") != key:
+        held["encoder"], held["key"] = PieceEncoder(*key), key
     return held["encoder"]
 
 
@@ -244,7 +265,11 @@ SHARD = (
 
 
 def token_shards(
-    docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = END_ID,
+    shard_tokens: int = SHARD_TOKENS,
+    special_as_text: bool = False,
 ) -> DataFrame:
     """One row for each shard: its documents in order, their lengths, the wavelet matrix.
 
@@ -269,7 +294,7 @@ def token_shards(
         )
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = worker_encoder(tokenizer)
+        enc = worker_encoder(tokenizer, special_as_text)
         end = np.array([end_id], dtype=enc.kind).tobytes()
         width = len(end)
         part = TaskContext.get().partitionId()
@@ -302,9 +327,10 @@ def write_tokens(
     tokenizer: str,
     end_id: int = END_ID,
     shard_tokens: int = SHARD_TOKENS,
+    special_as_text: bool = False,
 ) -> None:
     """Write the ids of all documents as a folder of shard files, one shard a file."""
-    shards = token_shards(docs, tokenizer, end_id, shard_tokens)
+    shards = token_shards(docs, tokenizer, end_id, shard_tokens, special_as_text)
     shards.write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
 
 
