@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from voxloom.functions.vectors import argmax
+from voxloom.operators.many import add_up, draws, hashed, slot_columns
 from voxloom.operators.tiles import matrix
 
 log = logging.getLogger(__name__)
@@ -52,21 +50,29 @@ class FuzzyFit:
         return df.withColumn(out, member(F.col(features).cast("array<double>")))
 
 
-def _start(df: DataFrame, k: int, m: float, seed: int) -> np.ndarray:
-    """Centres from random memberships that depend on the row key and seed only."""
-    draws = [
-        (F.pmod(F.xxhash64("key", F.lit(seed), F.lit(j)), F.lit(1_000_003)) + 1) / 1_000_004.0
-        for j in range(k)
-    ]
-    total = sum(draws[1:], draws[0])
-    vector = array_to_vector("features")
-    row = df.agg(
-        *[
-            vector_to_array(Summarizer.mean(vector, F.pow(u / total, F.lit(m)))).alias(f"c{j}")
-            for j, u in enumerate(draws)
-        ]
-    ).first()
-    return np.array([row[f"c{j}"] for j in range(k)])
+def _start_kernel(hashes: np.ndarray, x: np.ndarray, model: tuple[int, float, int]) -> np.ndarray:
+    """Weighted sums under random memberships that depend on the row and the seed only."""
+    k, m, seed = model
+    u = np.stack([draws(hashes, seed, j) for j in range(k)], axis=1)
+    um = (u / u.sum(axis=1, keepdims=True)) ** m
+    return np.concatenate(((um.T @ x).ravel(), um.sum(axis=0)))
+
+
+def _step_kernel(hashes: np.ndarray, x: np.ndarray, model: tuple) -> np.ndarray:
+    """Sums for new centres, objective, squared memberships, membership change, rows."""
+    centres, before, m = model
+    u, d2 = memberships_of(x, centres, m)
+    um = u**m
+    change = 0.0 if before is None else float(((u - memberships_of(x, before, m)[0]) ** 2).sum())
+    return np.concatenate(
+        [(um.T @ x).ravel(), um.sum(axis=0), [(um * d2).sum(), (u * u).sum(), change, len(x)]]
+    )
+
+
+def _stepped(total: np.ndarray, k: int, d: int) -> tuple[np.ndarray, dict[str, float]]:
+    moved = total[: k * d].reshape(k, d) / np.maximum(total[k * d : k * d + k], _FLOOR)[:, None]
+    objective, squares, change, n = total[-4:]
+    return moved, {"objective": objective, "fpc": squares / n, "change": float(np.sqrt(change)), "n": n}
 
 
 def one_step(
@@ -74,68 +80,76 @@ def one_step(
 ) -> tuple[np.ndarray, dict[str, float]]:
     """One pass: new centres, objective, partition coefficient, membership change.
 
-    Every task adds up its rows and returns one row of k x d + k numbers; these
-    partial sums are added up by Spark before the driver reads one row.
+    Every task adds up its rows; Spark adds up the tasks before the driver reads one row.
     """
-    k, d = centres.shape
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(k * d + k + 4)
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = matrix(batch["features"])
-            u, d2 = memberships_of(x, centres, m)
-            um = u**m
-            change = 0.0
-            if before is not None:
-                change = float(((u - memberships_of(x, before, m)[0]) ** 2).sum())
-            total += np.concatenate(
-                [(um.T @ x).ravel(), um.sum(axis=0), [(um * d2).sum(), (u * u).sum(), change, len(x)]]
-            )
-        yield pd.DataFrame({"part": [total.tolist()]})
-
-    parts = df.select("features").mapInPandas(sums, "part array<double>")
-    total = np.array(parts.agg(vector_to_array(Summarizer.sum(array_to_vector("part")))).first()[0])
-    weights = total[k * d : k * d + k]
-    moved = total[: k * d].reshape(k, d) / np.maximum(weights, _FLOOR)[:, None]
-    objective, squares, change, n = total[-4:]
-    return moved, {"objective": objective, "fpc": squares / n, "change": float(np.sqrt(change)), "n": n}
+    points = hashed(df.select("features"), ["features"])
+    total = add_up(points, [("features", (centres, before, m))], _step_kernel)[0]
+    return _stepped(total, *centres.shape)
 
 
-def fit_fuzzy(
+def fit_many_fuzzy(
     df: DataFrame,
-    k: int,
+    wanted: list[tuple[str, int]],
     m: float = 2.0,
     error: float = 0.005,
     max_iterations: int = 1000,
     seed: int = 42,
-    features: str = "features",
     key: str = "review_id",
-) -> FuzzyFit:
-    """Alternate memberships and centres until the memberships change by less than ``error``.
+) -> dict[tuple[str, int], FuzzyFit]:
+    """A fit of every (features column, k), all of them in one pass a round.
 
-    The change is the Euclidean norm over the whole membership matrix. The input
-    is read once per round; only k x d centres pass through the driver.
+    Each alternates memberships and centres until its memberships change by less than
+    ``error``, the Euclidean norm over its whole membership matrix, and then drops out.
     """
     if m <= 1:
         raise ValueError("m must be above 1")
-    points = df.select(
-        F.col(key).cast("bigint").alias("key"), F.col(features).cast("array<double>").alias("features")
-    ).persist()
-    before, centres = None, _start(points, k, m, seed)
+    slots = list(dict.fromkeys(s for s, _ in wanted))
+    points = df.select(F.xxhash64(F.col(key).cast("bigint")).alias("hash"), *slot_columns(slots)).persist()
+    starts = add_up(points, [(s, (k, m, seed)) for s, k in wanted], _start_kernel)
+    walks = {}
+    for (slot, k), total in zip(wanted, starts):
+        d = len(total) // k - 1
+        walks[slot, k] = (total[: k * d].reshape(k, d) / total[k * d :][:, None], None)
+    fits: dict[tuple[str, int], FuzzyFit] = {}
     for round_no in range(1, max_iterations + 1):
-        moved, state = one_step(points, centres, before, m)
-        converged = before is not None and state["change"] < error
-        before, centres = centres, moved
-        if converged:
+        active = [w for w in walks if w not in fits]
+        if not active:
             break
+        totals = add_up(points, [(w[0], (*walks[w], m)) for w in active], _step_kernel)
+        for walk, total in zip(active, totals):
+            centres, before = walks[walk]
+            moved, state = _stepped(total, *centres.shape)
+            converged = before is not None and state["change"] < error
+            walks[walk] = (moved, centres)
+            if converged or round_no == max_iterations:
+                fits[walk] = FuzzyFit(
+                    centres, m, round_no, float(state["fpc"]), float(state["objective"]), converged
+                )
     points.unpersist()
-    if not converged:
-        log.warning("k=%s: not converged after %s rounds", k, max_iterations)
-    if state["fpc"] - 1 / k < 1e-3:
-        log.warning("k=%s: the centres have collapsed, every membership is near 1/k", k)
-    return FuzzyFit(before, m, round_no, float(state["fpc"]), float(state["objective"]), converged)
+    for (slot, k), fit in fits.items():
+        if not fit.converged:
+            log.warning("k=%s: not converged after %s rounds", k, max_iterations)
+        if fit.fpc - 1 / k < 1e-3:
+            log.warning("k=%s: the centres have collapsed, every membership is near 1/k", k)
+    return fits
+
+
+def fit_fuzzy(
+    df: DataFrame,
+    k: int,
+    m: float = 2.0,
+    error: float = 0.005,
+    max_iterations: int = 1000,
+    seed: int = 42,
+    features: str = "features",
+    key: str = "review_id",
+) -> FuzzyFit:
+    """Alternate memberships and centres until the memberships change by less than ``error``.
+
+    The input is read once per round; only k x d centres pass through the driver.
+    """
+    wanted = [(features, k)]
+    return fit_many_fuzzy(df, wanted, m, error, max_iterations, seed, key)[features, k]
 
 
 def assigned_clusters(membership: Column, threshold: float = 0.3) -> Column:
