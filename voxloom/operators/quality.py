@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -14,6 +16,7 @@ from voxloom.checks import require_choice
 from voxloom.functions.vectors import squared_distance
 from voxloom.operators.cleaning import drop_noise
 from voxloom.operators.tiles import matrix, over_all_pairs, squared_distances
+from voxloom.session import cut_lineage
 
 # The scores of a run that cannot be judged.
 SENTINEL = (-1.0, 0.0, float("inf"))
@@ -193,3 +196,181 @@ def clustering_metrics(
         F.lit(mode).alias("silhouette_mode"),
     ]
     return df.sparkSession.range(1).select(*out)
+
+
+def _membership(columns: pd.Series, width: int) -> np.ndarray:
+    """The 0/1 matrix of rows and (labelling, cluster) columns."""
+    out = np.zeros((len(columns), width))
+    sizes = [len(c) for c in columns]
+    if sum(sizes):
+        out[np.repeat(np.arange(len(columns)), sizes), np.concatenate(columns.to_numpy())] = 1.0
+    return out
+
+
+def many_metrics(
+    df: DataFrame,
+    assignments: str,
+    widths: list[int],
+    features: str = "features",
+    key: str = "review_id",
+    mode: str = "exact",
+) -> list[dict]:
+    """The scores of many labellings of the same points, from one look at the distances.
+
+    ``assignments`` holds, for each labelling, the clusters of the point: none for noise,
+    several if the point counts once in each, as expanded fuzzy rows do. ``widths`` are the
+    numbers of clusters, which bound what a task returns for a point. The result is that of
+    ``clustering_metrics`` of every labelling, in order.
+    """
+    require_choice("mode", mode, ("exact", "squared"))
+    starts = np.concatenate(([0], np.cumsum(widths))).astype(int)
+    total = int(starts[-1])
+    offsets = F.array(*[F.lit(int(o)) for o in starts[:-1]])
+    columns = F.flatten(
+        F.transform(
+            F.arrays_zip(F.col(assignments).alias("a"), offsets.alias("o")),
+            lambda z: F.transform(z["a"], lambda c: (c + z["o"]).cast("int")),
+        )
+    )
+    points = cut_lineage(
+        df.select(
+            F.col(key).cast("bigint").alias("key"),
+            F.col(features).cast("array<double>").alias("features"),
+            columns.alias("columns"),
+        )
+    )
+    names = points.select("features", "columns")
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = 0.0
+        for batch in batches:
+            if len(batch):
+                x, one = matrix(batch["features"]), _membership(batch["columns"], total)
+                held = held + np.concatenate((one.sum(axis=0), (one.T @ x).ravel()))
+        if not np.isscalar(held):
+            yield pd.DataFrame({"part": [held.tolist()]})
+
+    first = _added(names.mapInPandas(moments, "part array<double>"))
+    if first is None:
+        return [_record(SENTINEL, 0, "none") for _ in widths]
+    n, sums = first[:total], first[total:].reshape(total, -1)
+    centres = sums / np.maximum(n, 1)[:, None]
+
+    def spreads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(2 * total)
+        for batch in batches:
+            if len(batch):
+                x, one = matrix(batch["features"]), _membership(batch["columns"], total)
+                for c in np.flatnonzero(n):
+                    d2 = ((x[one[:, c] > 0] - centres[c]) ** 2).sum(axis=1)
+                    held[c] += d2.sum()
+                    held[total + c] += np.sqrt(d2).sum()
+        yield pd.DataFrame({"part": [held.tolist()]})
+
+    second = _added(names.mapInPandas(spreads, "part array<double>"))
+    within, scatter = second[:total], second[total:] / np.maximum(n, 1)
+    judged = [
+        2 <= (n[a:b] > 0).sum() < n[a:b].sum() and n[a:b].sum() >= 2
+        for a, b in zip(starts[:-1], starts[1:])
+    ]
+    widths_found = [int((n[a:b] > 0).sum()) for a, b in zip(starts[:-1], starts[1:])]
+    silhouettes = [-1.0] * len(widths)
+    if any(judged):
+        silhouettes = (_exact_means if mode == "exact" else _squared_means)(points, starts, n, centres, within)
+    out = []
+    for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+        if not judged[i]:
+            out.append(_record(SENTINEL, widths_found[i], "none"))
+            continue
+        used = np.arange(a, b)[n[a:b] > 0]
+        size, mean = n[used], centres[used]
+        middle = (mean * size[:, None]).sum(axis=0) / size.sum()
+        between = (size * ((mean - middle) ** 2).sum(axis=1)).sum()
+        k, w = len(used), within[used].sum()
+        ch = 1.0 if w == 0 else (between / (k - 1)) / (w / (size.sum() - k))
+        d = np.sqrt(((mean[:, None] - mean[None]) ** 2).sum(axis=2))
+        both = scatter[used][:, None] + scatter[used][None]
+        np.fill_diagonal(both, 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(d > 0, both / d, np.where(both > 0, np.inf, 0.0))
+        out.append(_record((silhouettes[i], ch, ratio.max(axis=1).mean()), k, mode))
+    return out
+
+
+def _record(scores: tuple, k: int, mode: str) -> dict:
+    names = ("silhouette_score", "calinski_harabasz_score", "davies_bouldin_score")
+    found = {name: float(v) for name, v in zip(names, scores)}
+    return found | {"n_clusters_found": int(k), "silhouette_mode": mode}
+
+
+def _added(parts: DataFrame) -> np.ndarray | None:
+    total = vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("total")
+    row = parts.groupBy(F.lit(0).alias("all")).agg(total).first()
+    return None if row is None else np.array(row["total"])
+
+
+def _silhouette_sums(one: np.ndarray, away: np.ndarray, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of the silhouettes of each labelling, from the rows' distance sums to all clusters."""
+    mean = np.where(n > 0, away / np.maximum(n, 1), np.inf)
+    held = np.zeros(len(starts) - 1)
+    for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+        for c in range(a, b):
+            mine = one[:, c] > 0
+            if n[c] < 2 or not mine.any():  # a lone point scores 0
+                continue
+            own = away[mine, c] / (n[c] - 1)
+            other = np.delete(mean[mine, a:b], c - a, axis=1).min(axis=1, initial=np.inf)
+            most = np.maximum(own, other)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                held[i] += np.where((most > 0) & np.isfinite(most), (other - own) / most, 0.0).sum()
+    return held
+
+
+def _exact_means(points: DataFrame, starts: np.ndarray, n: np.ndarray, *_: np.ndarray) -> list[float]:
+    """Mean silhouettes from the distances of all points, summed by cluster of every labelling."""
+    total = int(starts[-1])
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        d = np.sqrt(squared_distances(matrix(a["features"]), matrix(b["features"])))
+        parts = []
+        for rows, others, dist in ((a, b, d),) if same else ((a, b, d), (b, a, d.T)):
+            away = dist @ _membership(others["columns"], total)
+            parts.append(pd.DataFrame({"key": rows["key"], "away": list(away)}))
+        return pd.concat(parts)
+
+    found = over_all_pairs(points, points.count(), sums, "key bigint, away array<double>")
+    away = found.groupBy("key").agg(vector_to_array(Summarizer.sum(array_to_vector("away"))).alias("away"))
+
+    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(len(starts) - 1)
+        for batch in batches:
+            if not len(batch):
+                continue
+            one, away = _membership(batch["columns"], total), matrix(batch["away"])
+            held += _silhouette_sums(one, away, n, starts)
+        yield pd.DataFrame({"part": [held.tolist()]})
+
+    scored = points.select("key", "columns").join(away, "key").select("columns", "away")
+    total_of = _added(scored.mapInPandas(means, "part array<double>"))
+    return [float(t / max(1, n[a:b].sum())) for t, a, b in zip(total_of, starts[:-1], starts[1:])]
+
+
+def _squared_means(
+    points: DataFrame, starts: np.ndarray, n: np.ndarray, centres: np.ndarray, within: np.ndarray
+) -> list[float]:
+    """Mean silhouettes on squared distances, which moments alone give: one linear pass."""
+    total = int(starts[-1])
+
+    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(len(starts) - 1)
+        for batch in batches:
+            if not len(batch):
+                continue
+            one, x = _membership(batch["columns"], total), matrix(batch["features"])
+            d2 = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+            away = n * d2 + within
+            held += _silhouette_sums(one, away, n, starts)
+        yield pd.DataFrame({"part": [held.tolist()]})
+
+    total_of = _added(points.select("columns", "features").mapInPandas(means, "part array<double>"))
+    return [float(t / max(1, n[a:b].sum())) for t, a, b in zip(total_of, starts[:-1], starts[1:])]
