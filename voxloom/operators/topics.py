@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import Executor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDA, LDAModel
@@ -24,6 +25,21 @@ def as_counts(df: DataFrame, features: str = "features", out: str = "counts") ->
     return df.withColumn("_low", low).withColumn(out, counts).drop("_low")
 
 
+def _counted(df: DataFrame, features: str) -> DataFrame:
+    return as_counts(df, features).withColumn(
+        "_counts", array_to_vector(F.col("counts").cast("array<double>"))
+    )
+
+
+def _lda(k: int, seed: int, passes: int, share: float) -> LDA:
+    rounds = max(1, round(passes / share))
+    return LDA(
+        k=k, seed=seed, maxIter=rounds, optimizer="online", learningOffset=10.0,
+        learningDecay=0.7, subsamplingRate=share, featuresCol="_counts",
+        topicDistributionCol="_topics",
+    )
+
+
 @dataclass
 class TopicFit:
     model: LDAModel
@@ -41,15 +57,8 @@ def fit_topics(
     The fit sees every row about ``passes`` times, in batches that hold ``share``
     of them, whatever their number.
     """
-    counted = as_counts(df, features).withColumn(
-        "_counts", array_to_vector(F.col("counts").cast("array<double>"))
-    ).persist()
-    rounds = max(1, round(passes / share))
-    model = LDA(
-        k=k, seed=seed, maxIter=rounds, optimizer="online", learningOffset=10.0,
-        learningDecay=0.7, subsamplingRate=share, featuresCol="_counts",
-        topicDistributionCol="_topics",
-    ).fit(counted)
+    counted = _counted(df, features).persist()
+    model = _lda(k, seed, passes, share).fit(counted)
     topics = model.transform(counted).withColumn("label", argmax(vector_to_array("_topics")))
     fit = TopicFit(
         model, model.logPerplexity(counted), model.logLikelihood(counted),
@@ -57,3 +66,23 @@ def fit_topics(
     )
     counted.unpersist()
     return fit
+
+
+def topic_labels(
+    df: DataFrame, ks: list[int], pool: Executor, features: str = "features", seed: int = 42,
+    passes: int = 50, out: str = "labels",
+) -> tuple[DataFrame, list[dict]]:
+    """Add ``out``, the strongest topic for every k in ``ks``, and what each fit reached.
+
+    The fits share the scaled counts and run side by side in ``pool``, which is the driver's;
+    their work is Spark's.
+    """
+    counted = _counted(df, features).persist()
+    models = list(pool.map(lambda k: _lda(k, seed, passes, 1.0).fit(counted), ks))
+    bounds = list(pool.map(lambda m: {"log_likelihood": m.logLikelihood(counted)}, models))
+    rows, labels = counted, []
+    for i, model in enumerate(models):
+        rows = model.setTopicDistributionCol(f"_topics{i}").transform(rows)
+        labels.append(argmax(vector_to_array(f"_topics{i}")))
+    rows = rows.withColumn(out, F.array(*labels))
+    return rows.select(*df.columns, out), bounds
