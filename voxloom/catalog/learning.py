@@ -13,7 +13,13 @@ from voxloom.operators.cleaning import numbered_clusters
 from voxloom.operators.dbscan import dbscan, dbscan_summary
 from voxloom.operators.embed import embed_with, embed_with_word2vec, fit_word2vec
 from voxloom.operators.kmeans import fit_kmeans
-from voxloom.operators.neighbours import directed_weights, fuzzy_graph, nearest_neighbours
+from voxloom.operators.neighbours import (
+    directed_weights,
+    fuzzy_graph,
+    nearest_neighbours,
+    neighbour_search,
+    visited_share,
+)
 from voxloom.operators.prompts import (
     GENERATION_HEAD,
     GENERATION_MIDDLE,
@@ -246,6 +252,11 @@ def m8(spark, folder):
     return I.rounded(nearest_neighbours(I.embeddings(spark, folder), 15), "distance")
 
 
+@query("m8_visited_share")
+def m8_share(spark, folder):
+    return visited_share(neighbour_search(I.embeddings(spark, folder), 15)[1])
+
+
 @query(
     "m9_neighbour_weights",
     f"WITH {I.EMBEDDINGS} SELECT review_id AS src, round(log2(15), 3) AS total, 14::BIGINT AS n FROM emb",

@@ -1,21 +1,18 @@
-"""Exact density clustering over a grid of tiles."""
+"""Exact density clustering over tiles of near points."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.ranking import id_bucket, number_rows
+from voxloom.operators.balls import ball_tiles, reached_pairs
 from voxloom.operators.components import connected_components
-from voxloom.operators.tiles import TILE_ROWS, grid_tiles, matrix, over_pairs, squared_distances
+from voxloom.operators.tiles import TILE_ROWS, matrix, over_pairs, squared_distances
 from voxloom.session import cut_lineage
 
-GRID_AXES = 3
-
 
 def _close(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> np.ndarray:
     return squared_distances(matrix(a["features"]), matrix(b["features"])) <= eps * eps
@@ -76,10 +73,11 @@ def dbscan(
     """``key, label, is_core``: clusters 0.. in order of their smallest core key, noise -1.
 
     Equal points are merged into one weighted point first, so copies cost one
-    row. Neighbours are counted over touching grid cells. Core points are linked
-    by a forest per tile pair and joined by connected components. A border point
-    has fewer than ``min_samples`` neighbours, so listing its core neighbours is
-    bounded; it joins the cluster with the smallest number.
+    row. Neighbours are counted over the tiles that ``eps`` reaches by the bounds of
+    ``ball_tiles``, in any number of dimensions. Core points are linked by a forest
+    per tile pair and joined by connected components. A border point has fewer than
+    ``min_samples`` neighbours, so listing its core neighbours is bounded; it joins
+    the cluster with the smallest number.
     """
     rows = df.select(
         F.col(key).cast("bigint").alias("row_key"),
@@ -90,9 +88,13 @@ def dbscan(
             F.min("row_key").alias("key"), F.count(F.lit(1)).cast("double").alias("weight")
         )
     )
-    variance = points.agg(vector_to_array(Summarizer.variance(array_to_vector("features")))).first()[0]
-    axes = list(np.argsort(variance)[::-1][:GRID_AXES].astype(int))
-    tiled, pairs = grid_tiles(points, [int(a) for a in axes], eps, tile_rows=tile_rows)
+    balls = ball_tiles(points, tile_rows)
+    if balls is None:
+        return rows.select(
+            F.col("row_key").alias(key), F.lit(-1).alias("label"), F.lit(False).alias("is_core")
+        )
+    tiled = balls.points.select("key", "features", "weight", "_tile")
+    pairs = cut_lineage(reached_pairs(balls, eps))
     weights = over_pairs(tiled, pairs, _neighbour_weights(eps), "key bigint, weight double")
     counted = weights.groupBy("key").agg((F.sum("weight") >= min_samples).alias("core"))
     marked = cut_lineage(tiled.join(counted, "key"))
