@@ -467,6 +467,60 @@ def r16(spark, folder):
     return C.consolidate(_to_merge(spark, folder), threshold=0.9)
 
 
+def _with_bounds(spark, folder):
+    """One requirement a part: its type, with a bound from its size."""
+    n = F.col("p_size").cast("bigint")
+    quantity, thousands = n.cast("string"), (n * 100).cast("string")
+    bounds = [
+        F.concat(F.lit("within "), quantity, F.lit(" seconds")),
+        F.concat(F.lit("under "), thousands, F.lit(" ms")),
+        F.concat(F.lit("at most "), quantity, F.lit(" minutes")),
+        F.concat(F.lit("at least "), quantity, F.lit(" GB")),
+        F.concat(F.lit("more than "), thousands, F.lit(" MB")),
+        F.concat(F.lit("over "), quantity, F.lit(" lists")),
+        F.concat(F.lit("in "), (n % 3 + 1).cast("string"), F.lit(" lists")),
+    ]
+    number = F.col("p_partkey")
+    return I.table(spark, folder, "part").select(
+        number.alias("requirement_no"),
+        F.lit("NON_FUNCTIONAL").alias("type"),
+        F.lit("Performance").alias("nfr_type"),
+        F.concat(
+            F.lit("The shop shall list each "), F.lower("p_type"), F.lit(" part "),
+            F.array(*bounds)[(number % len(bounds)).cast("int")], F.lit("."),
+        ).alias("description"),
+        (number % 100).cast("string").alias("based_on_comments"),
+    )
+
+
+# What each wording states: shape, the order of strictness (small is strict), and words.
+_BOUND_ROWS = """lines AS (SELECT p_partkey AS no, lower(p_type) AS kind, p_partkey % 100 AS cited,
+    CAST(p_size AS BIGINT) AS q FROM part),
+  said AS (SELECT *, CASE no % 7
+      WHEN 0 THEN {'shape': 'time', 'rank': q * 1000, 'words': 'within ' || q || ' seconds'}
+      WHEN 1 THEN {'shape': 'time', 'rank': q * 100, 'words': 'under ' || q * 100 || ' ms'}
+      WHEN 2 THEN {'shape': 'time', 'rank': q * 60000, 'words': 'at most ' || q || ' minutes'}
+      WHEN 3 THEN {'shape': 'size', 'rank': -q * 1000000, 'words': 'at least ' || q || ' GB'}
+      WHEN 4 THEN {'shape': 'size', 'rank': -q * 100000, 'words': 'more than ' || q * 100 || ' MB'}
+      WHEN 5 THEN {'shape': 'many', 'rank': -q, 'words': 'over ' || q || ' lists'}
+      ELSE {'shape': 'exact ' || q % 3, 'rank': 0::BIGINT, 'words': 'in ' || q % 3 + 1 || ' lists'} END AS b
+    FROM lines)"""
+
+
+@query(
+    "r16_stricter_bounds",
+    f"""WITH {_BOUND_ROWS}, united AS (SELECT kind, b.shape AS shape, count(*) AS n_merged, min(no) AS f,
+    arg_min(b.words, (b.rank, no)) AS words, count(DISTINCT cited) AS n_comments,
+    array_to_string(list_sort(list(DISTINCT cited)), ', ') AS based_on_comments FROM said GROUP BY ALL),
+  numbered AS (SELECT *, row_number() OVER (ORDER BY f) AS n FROM united)
+SELECT 'NFR' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS requirement_id,
+  'NON_FUNCTIONAL' AS type, 'The shop shall list each ' || kind || ' part ' || words || '.' AS description,
+  based_on_comments, 'Performance' AS nfr_type, n_merged, n_comments FROM numbered""",
+)
+def r16_bounds(spark, folder):
+    return C.consolidate(_with_bounds(spark, folder), threshold=0.95)
+
+
 @query(
     "r17_traceability",
     _sql(

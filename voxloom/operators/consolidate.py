@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.ranking import id_bucket, number_rows
+from voxloom.operators.bounds import (
+    bound_kinds,
+    bounds_of,
+    strictest,
+    with_phrases,
+    without_bounds,
+)
 from voxloom.operators.components import connected_components
 from voxloom.operators.responses import comment_ids
 from voxloom.session import cut_lineage
@@ -114,14 +121,19 @@ def merge_groups(
 ) -> DataFrame:
     """``key, group`` for every row: rows linked by similar token sets share a group.
 
-    Rows that state different numbers ("in 2 seconds", "in 30 seconds") are different
-    requirements however alike their words are, and never share one.
+    Likeness leaves stated bounds aside ("within 2 s", "under 3 seconds"): rows whose bounds
+    have the same directions and kinds may share a group. Rows that state different numbers
+    otherwise ("in 2 seconds", "version 30") are different requirements however alike their
+    words are, and never share one.
     """
     kinds = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in within]
-    within = [*within, "_numbers"]
-    rows = df.select(key, text, *kinds, stated_numbers(F.col(text)).alias("_numbers")).withColumn(
-        "_set", F.sort_array(F.array_distinct(requirement_tokens(F.col(text))))
-    )
+    within = [*within, "_numbers", "_bounds"]
+    plain = without_bounds(F.col(text))
+    rows = df.select(
+        key, plain.alias(text), *kinds, stated_numbers(plain).alias("_numbers"),
+        bound_kinds(bounds_of(F.col(text))).alias("_bounds"),
+    )
+    rows = rows.withColumn("_set", F.sort_array(F.array_distinct(requirement_tokens(F.col(text)))))
     nodes = rows.where(F.size("_set") > 0).groupBy(*within, "_set").agg(F.min(key).alias("_node"))
     edges = similar_pairs(rows.drop("_set"), text, key, within, threshold)
     components = connected_components(edges, "a", "b")
@@ -148,7 +160,8 @@ def consolidate_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """``(unified, citations)``: similar requirements of one kind merged, comments united.
 
-    The description is the longest of a group (the first one on a tie). Ids run
+    The description is the longest of a group (the first one on a tie); where members
+    state different bounds, it states the strictest of them. Ids run
     per kind in the order of the first member. ``unified`` has one row for each
     requirement; ``based_on_comments`` lists its comments in order, the first
     ``listed_ids`` of ``n_comments``, and ``citations`` (``requirement_id, ID``)
@@ -168,6 +181,13 @@ def consolidate_tables(
         F.count(F.lit(1)).alias("n_merged"),
         F.min_by(said, F.when(said.isNotNull(), F.col(key))).alias("_said"),
     ).select("group", "_best.*", "_first", "n_merged", "_said")
+    stated = joined.select("group", key, bounds_of(F.col("description")).alias("_bounds"))
+    merged = (
+        merged.join(strictest(stated, "group", key, "_bounds"), "group", "left")
+        .withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
+        .withColumn("description", with_phrases(F.col("description"), F.col("phrases")))
+        .drop("phrases")
+    )
     kind = F.when(F.upper("type") == "FUNCTIONAL", "FR").otherwise("NFR")
     numbered = number_rows(
         merged.withColumn("_kind", kind), ["_first"], {"slice": id_bucket("_first")},
