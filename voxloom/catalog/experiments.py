@@ -221,3 +221,26 @@ WHERE b.place <= 5""",
 )
 def m29(spark, folder):
     return I.rounded(X.best_results_report(I.experiments(spark, folder), 5), "algorithm_silhouette")
+
+
+_SETTING = "e.reduction_method, e.n_components, e.k_value, e.n_clusters_found"
+
+
+@query(
+    "m29_best_runs",
+    f"""WITH {I.EXPERIMENTS}, b AS ({_BEST})
+SELECT b.metric, CAST(b.place AS INTEGER) AS place, b.combination_id, b.score, e.algorithm, {_SETTING}
+FROM b JOIN experiments e USING (combination_id) WHERE b.place <= 5""",
+)
+def m29_runs(spark, folder):
+    return X.best_runs(I.experiments(spark, folder), 5)
+
+
+@query(
+    "m29_recommendation",
+    f"""WITH {I.EXPERIMENTS}, b AS ({_BEST})
+SELECT e.combination_id, e.algorithm, {_SETTING}, e.silhouette_score, e.execution_time
+FROM b JOIN experiments e USING (combination_id) WHERE b.place = 1 AND b.metric = 'silhouette'""",
+)
+def m29_recommended(spark, folder):
+    return X.recommendation(I.experiments(spark, folder))

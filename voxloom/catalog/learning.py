@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from voxloom.operators.prompts import (
     GENERATION_HEAD,
     GENERATION_MIDDLE,
     GENERATION_TAIL,
+    UNIFICATION_HEAD,
+    UNIFICATION_MIDDLE,
+    UNIFICATION_TAIL,
     generation_prompts,
 )
 from voxloom.operators.reduce import pca, spectral_layout
@@ -75,6 +80,42 @@ def echo_responder():
     return answer
 
 
+# What the reading responder asks for, by the first letter of a comment.
+WISHES = [
+    "The notebook shall export every page as a file",
+    "Calendars shall synchronise with other devices overnight",
+    "Opening a notebook shall take at most {0} seconds",
+    "Users shall restore deleted entries from a bin",
+    "Reminders shall repeat until somebody dismisses them",
+]
+
+
+def reading_responder():
+    """A fixed responder that answers from its prompt: each comment is behind one requirement.
+
+    The first letter of a comment picks the wish and the seconds it asks for; a list of
+    requirements comes back as it is, so merging is left to the consolidation.
+    """
+    mark = re.compile(r"(?m)^([0-9]+)\. ((?s:.))")
+
+    def answer(prompt: str) -> str:
+        if prompt.startswith(UNIFICATION_HEAD):
+            listed = prompt.split(UNIFICATION_MIDDLE)[1].removesuffix(UNIFICATION_TAIL)
+            return "\n".join(line for line in listed.split("\n") if line.startswith("**"))
+        comments = prompt.split(GENERATION_MIDDLE)[1].removesuffix(GENERATION_TAIL)
+        asked: dict[int, list[tuple[str, int]]] = {}
+        for number, letter in mark.findall(comments):
+            asked.setdefault(ord(letter) % len(WISHES), []).append((number, ord(letter) % 7 + 1))
+        lines = []
+        for i, (wish, said) in enumerate(sorted(asked.items()), start=1):
+            kind = f"NFR{i:03d} (Performance)" if wish == 2 else f"FR{i:03d}"
+            text = WISHES[wish].format(min(seconds for _, seconds in said))
+            lines.append(f"**{kind}:** {text}. (Based on comments: {', '.join(n for n, _ in said)})")
+        return "\n".join(lines)
+
+    return answer
+
+
 @query(
     "m1_score_with_model",
     f"WITH {I.REVIEWS} SELECT review_id, (length(Review) % 101) / 100.0::DOUBLE AS prediction_score,"
@@ -630,3 +671,25 @@ def m31(spark, folder):
         reduction="pca", max_comments=20,
     )
     return tables["unified_requirements"]
+
+
+@query(
+    "m31_every_comment_is_cited",
+    f"""WITH {I.REVIEWS}, asked AS (SELECT DISTINCT Review, unicode(Review) % {len(WISHES)} AS w,
+    unicode(Review) % 7 + 1 AS s FROM reviews WHERE (length(Review) % 101) / 100.0::DOUBLE > 0.5),
+  wishes AS (SELECT unnest({WISHES!r}) AS wish, generate_subscripts({WISHES!r}, 1) - 1 AS w)
+SELECT CASE w WHEN 2 THEN 'NFR' ELSE 'FR' END AS kind, replace(wish, '{{0}}', min(s)::VARCHAR) || '.' AS description,
+  count(*) AS n_comments, count(*) AS n_cited FROM asked JOIN wishes USING (w) GROUP BY w, wish""",
+)
+def m31_cited(spark, folder):
+    tables = mine_requirements(
+        I.reviews(spark, folder), "a notes app", reading_responder, length_model, letter_encoder,
+        reduction="pca", max_comments=20,
+    )
+    cited = tables["requirement_citations"].groupBy("requirement_id").agg(
+        F.count(F.lit(1)).alias("n_cited")
+    )
+    return tables["unified_requirements"].join(cited, "requirement_id", "left").select(
+        F.regexp_extract("requirement_id", "^[A-Z]+", 0).alias("kind"), "description", "n_comments",
+        F.coalesce("n_cited", F.lit(0)).alias("n_cited"),
+    )

@@ -237,3 +237,23 @@ def best_results_report(results: DataFrame, n: int = 5) -> DataFrame:
         "metric", "combination_id", "score", "place", "algorithm"
     )
     return best.join(averages, "algorithm")
+
+
+def best_runs(results: DataFrame, n: int = 5) -> DataFrame:
+    """The best runs by each metric with what makes a run: reduction, components and k."""
+    setting = results.select(
+        "combination_id", "reduction_method", "n_components", "k_value", "n_clusters_found"
+    )
+    best = best_per_metric(results, n).select(
+        "metric", "place", "combination_id", "score", "algorithm"
+    )
+    return best.join(setting, "combination_id")
+
+
+def recommendation(results: DataFrame) -> DataFrame:
+    """One row: the run with the best silhouette and its whole setting; none if no run has one."""
+    best = best_per_metric(results, 1).where("metric = 'silhouette'").select("combination_id")
+    return results.join(best, "combination_id").select(
+        "combination_id", "algorithm", "reduction_method", "n_components", "k_value",
+        "n_clusters_found", "silhouette_score", "execution_time",
+    )
