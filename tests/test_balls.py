@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import balls as B
-from voxloom.operators.dbscan import dbscan
+from voxloom.operators.dbscan import dbscan, density_points
 from voxloom.operators.neighbours import nearest_neighbours, neighbour_search, visited_share
 
 
@@ -96,3 +96,13 @@ def test_density_visits_few_tiles_in_many_dimensions(spark):
     assert pairs < tiles * (tiles + 1) / 4
     labels = {r["review_id"]: r["label"] for r in dbscan(frame(spark, x), 0.3, 5, tile_rows=40).collect()}
     assert [labels[i] for i in range(len(x))] == [i // 60 for i in range(len(x))]
+
+
+def test_shared_points_give_the_labels_of_each_setting(spark):
+    df = frame(spark, groups(8, seed=2, n=5, size=30, spread=0.05))
+    shared = density_points(df, tile_rows=25)
+    for eps, least in [(0.1, 3), (0.25, 5)]:
+        alone = dbscan(df, eps, least, tile_rows=25)
+        assert sorted(map(tuple, dbscan(df, eps, least, points=shared).collect())) == sorted(
+            map(tuple, alone.collect())
+        )

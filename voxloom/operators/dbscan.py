@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.ranking import id_bucket, number_rows
-from voxloom.operators.balls import ball_tiles, reached_pairs
+from voxloom.operators.balls import Balls, ball_tiles, reached_pairs
 from voxloom.operators.components import connected_components
 from voxloom.operators.tiles import TILE_ROWS, matrix, over_pairs, squared_distances
 from voxloom.session import cut_lineage
@@ -62,6 +64,30 @@ def _links(eps: float):
     return kernel
 
 
+@dataclass
+class DensityPoints:
+    """``rows`` (``row_key, features``) and tiles of their distinct vectors, for many settings."""
+
+    rows: DataFrame
+    balls: Balls | None
+
+
+def density_points(
+    df: DataFrame, features: str = "features", key: str = "review_id", tile_rows: int = TILE_ROWS
+) -> DensityPoints:
+    """Equal points merged into weighted ones and dealt to tiles: all that no setting changes."""
+    rows = df.select(
+        F.col(key).cast("bigint").alias("row_key"),
+        F.col(features).cast("array<double>").alias("features"),
+    )
+    points = cut_lineage(
+        rows.groupBy("features").agg(
+            F.min("row_key").alias("key"), F.count(F.lit(1)).cast("double").alias("weight")
+        )
+    )
+    return DensityPoints(rows, ball_tiles(points, tile_rows))
+
+
 def dbscan(
     df: DataFrame,
     eps: float = 0.5,
@@ -69,6 +95,7 @@ def dbscan(
     features: str = "features",
     key: str = "review_id",
     tile_rows: int = TILE_ROWS,
+    points: DensityPoints | None = None,
 ) -> DataFrame:
     """``key, label, is_core``: clusters 0.. in order of their smallest core key, noise -1.
 
@@ -77,18 +104,11 @@ def dbscan(
     ``ball_tiles``, in any number of dimensions. Core points are linked by a forest
     per tile pair and joined by connected components. A border point has fewer than
     ``min_samples`` neighbours, so listing its core neighbours is bounded; it joins
-    the cluster with the smallest number.
+    the cluster with the smallest number. ``points``, the ``density_points`` of the same
+    table, saves their work where several settings are tried.
     """
-    rows = df.select(
-        F.col(key).cast("bigint").alias("row_key"),
-        F.col(features).cast("array<double>").alias("features"),
-    )
-    points = cut_lineage(
-        rows.groupBy("features").agg(
-            F.min("row_key").alias("key"), F.count(F.lit(1)).cast("double").alias("weight")
-        )
-    )
-    balls = ball_tiles(points, tile_rows)
+    points = points or density_points(df, features, key, tile_rows)
+    rows, balls = points.rows, points.balls
     if balls is None:
         return rows.select(
             F.col("row_key").alias(key), F.lit(-1).alias("label"), F.lit(False).alias("is_core")
