@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from concurrent.futures import Executor
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.vectors import argmax
+from voxloom.operators.many import add_up, slot_columns
+
+# Steps for the topics of one row, and the share of it that may still move when it ends.
+ROW_ROUNDS = 100
+ROW_TOLERANCE = 1e-5
 
 
 def as_counts(df: DataFrame, features: str = "features", out: str = "counts") -> DataFrame:
@@ -68,21 +74,141 @@ def fit_topics(
     return fit
 
 
-def topic_labels(
-    df: DataFrame, ks: list[int], pool: Executor, features: str = "features", seed: int = 42,
-    passes: int = 50, out: str = "labels",
-) -> tuple[DataFrame, list[dict]]:
-    """Add ``out``, the strongest topic for every k in ``ks``, and what each fit reached.
+def _shifted_up(x: np.ndarray, least: float = 8.0) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
+    """``x`` raised by ones until all of it is at ``least``: the entries that move and the values."""
+    y = np.array(x, dtype="float64")
+    while (small := y < least).any():
+        yield small, y
+        y = np.where(small, y + 1.0, y)
+    yield None, y
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of log gamma for positive numbers: recurrence, then the asymptotic series."""
+    taken = np.zeros_like(x, dtype="float64")
+    for small, y in _shifted_up(x):
+        if small is not None:
+            taken += np.where(small, 1.0 / y, 0.0)
+    z = 1.0 / (y * y)
+    series = z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132))))
+    return np.log(y) - 0.5 / y - series - taken
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Log gamma for positive numbers, in the same way."""
+    taken = np.zeros_like(x, dtype="float64")
+    for small, y in _shifted_up(x):
+        if small is not None:
+            taken += np.where(small, np.log(y), 0.0)
+    z = 1.0 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - taken
 
-    The fits share the scaled counts and run side by side in ``pool``, which is the driver's;
-    their work is Spark's.
+
+def _expected_log(concentration: np.ndarray) -> np.ndarray:
+    """Expected logarithms of Dirichlet shares, one distribution a row."""
+    return digamma(concentration) - digamma(concentration.sum(axis=1, keepdims=True))
+
+
+@dataclass
+class TopicModel:
+    """Topics of one (slot, k): ``words`` is the k x d Dirichlet, ``low`` the slot's minimum."""
+
+    words: np.ndarray
+    low: float
+    log_likelihood: float = float("nan")
+
+    def counts(self, x: np.ndarray) -> np.ndarray:
+        whole = np.trunc((x - min(self.low, 0.0) + 1e-10) * 1000.0)
+        return np.clip(whole, 1.0, 2**31 - 1)
+
+    def strengths(self, counts: np.ndarray) -> np.ndarray:
+        """Dirichlet of the topics of each row; a row ends by itself, whatever its batch."""
+        k = len(self.words)
+        beta = np.exp(_expected_log(self.words))
+        found = np.ones((len(counts), k))
+        active = np.arange(len(counts))
+        for _ in range(ROW_ROUNDS):
+            if not len(active):
+                break
+            mine, c = found[active], counts[active]
+            theta = np.exp(_expected_log(mine))
+            moved = theta * ((c / (theta @ beta + 1e-100)) @ beta.T) + 1.0 / k
+            found[active] = moved
+            step = np.abs(moved - mine).sum(axis=1)
+            active = active[step > ROW_TOLERANCE * moved.sum(axis=1)]
+        return found
+
+    def labels(self, x: np.ndarray) -> np.ndarray:
+        return self.strengths(self.counts(x)).argmax(axis=1)
+
+
+def _topic_kernel(hashes: np.ndarray, x: np.ndarray, model: TopicModel) -> np.ndarray:
+    """Expected counts of every topic and word over the rows."""
+    counts = model.counts(x)
+    theta = np.exp(_expected_log(model.strengths(counts)))
+    beta = np.exp(_expected_log(model.words))
+    return (theta.T @ (counts / (theta @ beta + 1e-100)) * beta).ravel()
+
+
+def _bound_kernel(hashes: np.ndarray, x: np.ndarray, model: TopicModel) -> np.ndarray:
+    """What the rows add to the lower bound of the log-likelihood."""
+    k, counts = len(model.words), model.counts(x)
+    gamma = model.strengths(counts)
+    share = _expected_log(gamma)
+    likely = np.log(np.exp(share) @ np.exp(_expected_log(model.words)) + 1e-100)
+    alpha = np.full(k, 1.0 / k)
+    rows = (counts * likely).sum(axis=1) + ((alpha - gamma) * share).sum(axis=1)
+    rows += (log_gamma(gamma) - log_gamma(alpha)).sum(axis=1)
+    rows += log_gamma(np.array([1.0]))[0] - log_gamma(gamma.sum(axis=1))
+    return np.array([rows.sum()])
+
+
+def _word_bound(words: np.ndarray) -> float:
+    """The part of the bound that the topics themselves add."""
+    k, d = words.shape
+    eta = np.array([1.0 / k])
+    total = ((eta - words) * _expected_log(words) + log_gamma(words) - log_gamma(eta)).sum()
+    return float(total + (log_gamma(eta * d) - log_gamma(words.sum(axis=1))).sum())
+
+
+def fit_many_topics(
+    df: DataFrame,
+    wanted: list[tuple[str, int]],
+    passes: int = 50,
+    seed: int = 42,
+    offset: float = 10.0,
+    decay: float = 0.7,
+) -> dict[tuple[str, int], TopicModel]:
+    """Topic models of every (features column, k), all of them in one pass a round.
+
+    Variational inference as in ``fit_topics`` with whole passes as batches and 1/k as weight of
+    a topic in a row: a round moves
+    the topics towards the expected counts of all rows by ``(offset + round) ** -decay``.
+    Tasks return k x d numbers a model, whatever the rows.
     """
-    counted = _counted(df, features).persist()
-    models = list(pool.map(lambda k: _lda(k, seed, passes, 1.0).fit(counted), ks))
-    bounds = list(pool.map(lambda m: {"log_likelihood": m.logLikelihood(counted)}, models))
-    rows, labels = counted, []
-    for i, model in enumerate(models):
-        rows = model.setTopicDistributionCol(f"_topics{i}").transform(rows)
-        labels.append(argmax(vector_to_array(f"_topics{i}")))
-    rows = rows.withColumn(out, F.array(*labels))
-    return rows.select(*df.columns, out), bounds
+    slots = list(dict.fromkeys(s for s, _ in wanted))
+    points = df.select(F.lit(0).cast("bigint").alias("hash"), *slot_columns(slots)).persist()
+    shape = points.agg(
+        *[F.min(F.array_min(s)).alias(f"low{i}") for i, s in enumerate(slots)],
+        *[F.max(F.size(s)).alias(f"size{i}") for i, s in enumerate(slots)],
+    ).first()
+    if shape["low0"] is None:
+        points.unpersist()
+        raise ValueError("no points to cluster")
+    models = {}
+    for slot, k in wanted:
+        i = slots.index(slot)
+        start = np.random.default_rng([seed, k]).gamma(100.0, 0.01, (k, shape[f"size{i}"]))
+        models[slot, k] = TopicModel(start, shape[f"low{i}"])
+    for round_no in range(1, passes + 1):
+        totals = add_up(points, [(slot, m) for (slot, _), m in models.items()], _topic_kernel)
+        weight = (offset + round_no) ** -decay
+        for model, total in zip(models.values(), totals):
+            new = total.reshape(model.words.shape) + 1.0 / len(model.words)
+            model.words = (1 - weight) * model.words + weight * new
+    bounds = add_up(points, [(slot, m) for (slot, _), m in models.items()], _bound_kernel)
+    for model, bound in zip(models.values(), bounds):
+        model.log_likelihood = float(bound[0]) + _word_bound(model.words)
+    points.unpersist()
+    return models
