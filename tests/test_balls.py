@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_learning import brute_dbscan
 
 from voxloom.operators import balls as B
-from voxloom.operators.dbscan import dbscan, density_points
+from voxloom.operators.dbscan import dbscan, dbscan_settings, density_points
 from voxloom.operators.neighbours import nearest_neighbours, neighbour_search, visited_share
 
 
@@ -98,11 +99,24 @@ def test_density_visits_few_tiles_in_many_dimensions(spark):
     assert [labels[i] for i in range(len(x))] == [i // 60 for i in range(len(x))]
 
 
-def test_shared_points_give_the_labels_of_each_setting(spark):
-    df = frame(spark, groups(8, seed=2, n=5, size=30, spread=0.05))
-    shared = density_points(df, tile_rows=25)
-    for eps, least in [(0.1, 3), (0.25, 5)]:
-        alone = dbscan(df, eps, least, tile_rows=25)
-        assert sorted(map(tuple, dbscan(df, eps, least, points=shared).collect())) == sorted(
-            map(tuple, alone.collect())
-        )
+@pytest.mark.parametrize("tile_rows", [25, 2048])
+def test_all_settings_at_once_equal_each_alone(spark, tile_rows):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.uniform(0, 5, size=(150, 2)), np.repeat([[9.0, 9.0]], 40, axis=0)])
+    # Keys beyond the range of small numbers, in the same order.
+    df = frame(spark, x).withColumn("review_id", F.col("review_id") * F.lit(2**54) - F.lit(2**62))
+    settings = [(0.45, 5), (0.3, 3), (0.45, 9), (0.01, 2), (6.0, 1), (0.3, 3)]
+    shared = density_points(df, tile_rows=tile_rows)
+    got = dbscan_settings(shared, settings).orderBy("review_id").collect()
+    assert len(got) == len(x)
+    for i, (eps, least) in enumerate(settings):
+        want, core = brute_dbscan(x, eps, least)
+        assert [r["labels"][i] for r in got] == list(want), (eps, least)
+        assert [r["cores"][i] for r in got] == list(core)
+    alone = dbscan(df, 0.3, 3, points=shared).orderBy("review_id").collect()
+    assert [(r["label"], r["is_core"]) for r in alone] == [(r["labels"][1], r["cores"][1]) for r in got]
+
+
+def test_no_points_under_settings(spark):
+    shared = density_points(frame(spark, np.zeros((3, 2))).limit(0))
+    assert dbscan_settings(shared, [(0.5, 3), (0.1, 2)]).count() == 0

@@ -15,6 +15,7 @@ from voxloom.operators.respond import respond
 from voxloom.operators.topics import fit_topics
 from voxloom.operators.ward import ward
 from voxloom.plans.choose_k import choose_k, cluster_reviews
+from voxloom.plans import study
 from voxloom.plans.study import fuzzy_study, run_study
 
 
@@ -247,6 +248,26 @@ def test_study_runs_every_algorithm(spark):
     assert {r["algorithm"] for r in out} == {"kmeans", "fuzzy_cmeans", "lda", "agglomerative", "dbscan"}
 
 
+def test_study_scores_settings_together_as_alone(spark, monkeypatch, tmp_path):
+    x, _ = blobs(13, dim=3)
+    df = frame(spark, x).drop("label")
+    settings = [(1.0, 3), (0.05, 3), (0.4, 2)]
+    plan = X.grid(spark, 3, 3, 3, ["kmeans"], ["none"], [], settings)
+    out = {r["combination_id"]: r for r in run_study(df, plan, restarts=1, assignments_path=str(tmp_path)).collect()}
+    monkeypatch.setattr(study, "SCORED_TOGETHER", 1)
+    lone = {r["combination_id"]: r for r in run_study(df, plan, restarts=1).collect()}
+    assert set(out) == set(lone) and len(out) == 4
+    for row in plan.where("algorithm = 'dbscan'").collect():
+        name = row["combination_id"]
+        labelled, record = study.run_combination(df, row.asDict())
+        for got in (out[name], lone[name]):
+            assert np.allclose(tuple(got)[6:9], record[6:9]), name
+            assert got["n_clusters_found"] == record[5]
+            assert got["params"]["noise"] == labelled.where("label = -1").count()
+        written = spark.read.parquet(f"{tmp_path}/combination_id={name}")
+        assert written.count() == len(x)
+
+
 def test_failing_combination_is_left_out(spark):
     x, _ = blobs(14)
     plan = X.grid(spark, 2, 3, 3, ["kmeans"], ["none"], [], []).unionByName(

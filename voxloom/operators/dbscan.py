@@ -16,50 +16,63 @@ from voxloom.operators.tiles import TILE_ROWS, matrix, over_pairs, squared_dista
 from voxloom.session import cut_lineage
 
 
-def _close(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> np.ndarray:
-    return squared_distances(matrix(a["features"]), matrix(b["features"])) <= eps * eps
+def _near(a: pd.DataFrame, b: pd.DataFrame, radii: list[float]) -> list[np.ndarray]:
+    """Which points of two tiles are near, for every radius, from one look at the distances."""
+    away = squared_distances(matrix(a["features"]), matrix(b["features"]))
+    return [away <= eps * eps for eps in radii]
 
 
-def _neighbour_weights(eps: float):
+def _neighbour_weights(radii: list[float]):
+    names = [f"w{i}" for i in range(len(radii))]
+
     def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = _close(a, b, eps)
-        parts = [pd.DataFrame({"key": a["key"], "weight": near @ b["weight"].to_numpy()})]
+        near = _near(a, b, radii)
+        weight_a, weight_b = a["weight"].to_numpy(), b["weight"].to_numpy()
+        parts = [pd.DataFrame({"key": a["key"]} | {n: m @ weight_b for n, m in zip(names, near)})]
         if not same:
-            parts.append(pd.DataFrame({"key": b["key"], "weight": near.T @ a["weight"].to_numpy()}))
+            parts.append(pd.DataFrame({"key": b["key"]} | {n: m.T @ weight_a for n, m in zip(names, near)}))
         out = pd.concat(parts)
-        return out[out["weight"] > 0]
+        return out[out[names].max(axis=1) > 0]
 
     return kernel
 
 
-def _links(eps: float):
-    """Links between core points, as a forest, and the core points next to border points."""
+def _forest(near: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest reachable id for every point of two tiles with any link."""
+    low_a, low_b = ids_a.copy(), ids_b.copy()
+    big = np.iinfo("int64").max
+    while True:
+        new_b = np.minimum(low_b, np.where(near, low_a[:, None], big).min(axis=0, initial=big))
+        new_a = np.minimum(low_a, np.where(near, new_b[None, :], big).min(axis=1, initial=big))
+        if (new_a == low_a).all() and (new_b == low_b).all():
+            break
+        low_a, low_b = new_a, new_b
+    ids, low = np.concatenate((ids_a, ids_b)), np.concatenate((low_a, low_b))
+    return ids[ids != low], low[ids != low]
 
-    def forest(near: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> list[tuple]:
-        """Smallest reachable id for every point of two tiles with any link."""
-        low_a, low_b = ids_a.copy(), ids_b.copy()
-        big = np.iinfo("int64").max
-        while True:
-            new_b = np.minimum(low_b, np.where(near, low_a[:, None], big).min(axis=0, initial=big))
-            new_a = np.minimum(low_a, np.where(near, new_b[None, :], big).min(axis=1, initial=big))
-            if (new_a == low_a).all() and (new_b == low_b).all():
-                break
-            low_a, low_b = new_a, new_b
-        pairs = [(i, r) for i, r in zip(ids_a, low_a) if i != r]
-        return pairs + [(i, r) for i, r in zip(ids_b, low_b) if i != r]
+
+def _links(radii: list[float], settings: list[tuple[float, int]]):
+    """Links between core points, as a forest, and the core points next to border points."""
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = _close(a, b, eps)
+        nears = _near(a, b, radii)
         ids_a, ids_b = a["key"].to_numpy(), b["key"].to_numpy()
-        core_a, core_b = a["core"].to_numpy(), b["core"].to_numpy()
-        links = forest(near[np.ix_(core_a, core_b)], ids_a[core_a], ids_b[core_b])
-        rows = [("core", int(i), int(r)) for i, r in links]
-        i, j = np.nonzero(near & ~core_a[:, None] & core_b[None, :])
-        rows += [("border", int(ids_a[x]), int(ids_b[y])) for x, y in zip(i, j)]
-        if not same:
-            i, j = np.nonzero(near & core_a[:, None] & ~core_b[None, :])
-            rows += [("border", int(ids_b[y]), int(ids_a[x])) for x, y in zip(i, j)]
-        return pd.DataFrame(rows, columns=["kind", "src", "dst"])
+        cores_a, cores_b = np.stack(a["core"].to_list()), np.stack(b["core"].to_list())
+        parts = []
+
+        def add(setting: int, kind: str, src: np.ndarray, dst: np.ndarray) -> None:
+            parts.append(pd.DataFrame({"setting": setting, "kind": kind, "src": src, "dst": dst}))
+
+        for setting, (eps, _) in enumerate(settings):
+            near = nears[radii.index(eps)]
+            core_a, core_b = cores_a[:, setting], cores_b[:, setting]
+            add(setting, "core", *_forest(near[np.ix_(core_a, core_b)], ids_a[core_a], ids_b[core_b]))
+            i, j = np.nonzero(near & ~core_a[:, None] & core_b[None, :])
+            add(setting, "border", ids_a[i], ids_b[j])
+            if not same:
+                i, j = np.nonzero(near & core_a[:, None] & ~core_b[None, :])
+                add(setting, "border", ids_b[j], ids_a[i])
+        return pd.concat(parts)
 
     return kernel
 
@@ -99,51 +112,77 @@ def dbscan(
 ) -> DataFrame:
     """``key, label, is_core``: clusters 0.. in order of their smallest core key, noise -1.
 
-    Equal points are merged into one weighted point first, so copies cost one
-    row. Neighbours are counted over the tiles that ``eps`` reaches by the bounds of
-    ``ball_tiles``, in any number of dimensions. Core points are linked by a forest
-    per tile pair and joined by connected components. A border point has fewer than
-    ``min_samples`` neighbours, so listing its core neighbours is bounded; it joins
-    the cluster with the smallest number. ``points``, the ``density_points`` of the same
-    table, saves their work where several settings are tried.
+    ``points``, the ``density_points`` of the same table, saves their work where it was done.
     """
     points = points or density_points(df, features, key, tile_rows)
+    found = dbscan_settings(points, [(eps, min_samples)], key)
+    return found.select(key, F.col("labels")[0].alias("label"), F.col("cores")[0].alias("is_core"))
+
+
+def dbscan_settings(
+    points: DensityPoints, settings: list[tuple[float, int]], key: str = "review_id"
+) -> DataFrame:
+    """``key, labels, cores``: the label and core flag of a row under every (eps, min_samples).
+
+    Equal points are merged into one weighted point first, so copies cost one
+    row. Neighbours are counted over the tiles that the largest ``eps`` reaches by the bounds
+    of ``ball_tiles``, in any number of dimensions; one look at the distances of two tiles
+    serves all settings. Core points are linked by a forest per tile pair and setting, and
+    the graphs of all settings are joined by the same rounds of connected components. A
+    border point has fewer than ``min_samples`` neighbours, so listing its core neighbours
+    is bounded; it joins the cluster with the smallest number.
+    """
     rows, balls = points.rows, points.balls
-    if balls is None:
+    if balls is None or not settings:
+        n = len(settings)
         return rows.select(
-            F.col("row_key").alias(key), F.lit(-1).alias("label"), F.lit(False).alias("is_core")
+            F.col("row_key").alias(key),
+            F.array_repeat(F.lit(-1), n).alias("labels"),
+            F.array_repeat(F.lit(False), n).alias("cores"),
         )
+    radii = sorted({eps for eps, _ in settings})
     tiled = balls.points.select("key", "features", "weight", "_tile")
-    pairs = cut_lineage(reached_pairs(balls, eps))
-    weights = over_pairs(tiled, pairs, _neighbour_weights(eps), "key bigint, weight double")
-    counted = weights.groupBy("key").agg((F.sum("weight") >= min_samples).alias("core"))
-    marked = cut_lineage(tiled.join(counted, "key"))
-    links = cut_lineage(
-        over_pairs(marked, pairs, _links(eps), "kind string, src bigint, dst bigint")
+    pairs = cut_lineage(reached_pairs(balls, radii[-1]))
+    schema = ", ".join(["key bigint", *[f"w{i} double" for i in range(len(radii))]])
+    weights = over_pairs(tiled, pairs, _neighbour_weights(radii), schema)
+    counted = weights.groupBy("key").agg(
+        F.array(*[F.sum(f"w{radii.index(e)}") >= least for e, least in settings]).alias("core")
     )
-    components = connected_components(links.where("kind = 'core'"))
+    marked = cut_lineage(tiled.join(counted, "key"))
+    schema = "setting int, kind string, src bigint, dst bigint"
+    links = cut_lineage(over_pairs(marked, pairs, _links(radii, settings), schema))
+    components = connected_components(links.where("kind = 'core'"), within=["setting"])
     core = (
-        marked.where("core")
-        .select("key")
-        .join(components, F.col("key") == F.col("node"), "left")
-        .select("key", F.coalesce("component", "key").alias("root"))
+        marked.select("key", F.posexplode("core").alias("setting", "is_core"))
+        .where("is_core")
+        .select("setting", "key")
+        .join(components.withColumnRenamed("node", "key"), ["setting", "key"], "left")
+        .select("setting", "key", F.coalesce("component", "key").alias("root"))
     )
     border = (
         links.where("kind = 'border'")
-        .join(core.withColumnRenamed("key", "dst"), "dst")
-        .groupBy(F.col("src").alias("key"))
+        .join(core.withColumnRenamed("key", "dst"), ["setting", "dst"])
+        .groupBy("setting", F.col("src").alias("key"))
         .agg(F.min("root").alias("root"))
     )
-    roots = core.select("root").distinct()
-    numbers = number_rows(roots, ["root"], {"slice": id_bucket("root")}, out="_no")
+    roots = core.select("setting", "root").distinct()
+    numbers = number_rows(roots, ["root"], {"slice": id_bucket("root")}, within=["setting"], out="_no")
+    # One entry a setting.
+    numbered = F.collect_list(F.struct("setting", (F.col("_no") - 1).cast("int")))
+    placed = (
+        core.union(border)
+        .join(numbers, ["setting", "root"])
+        .groupBy("key")
+        .agg(F.map_from_entries(numbered).alias("placed"))
+    )
+    label_of = lambda i: F.coalesce(F.try_element_at("placed", i), F.lit(-1))
     labels = (
         marked.select("key", "features", "core")
-        .join(core.union(border), "key", "left")
-        .join(numbers, "root", "left")
-        .select("features", "core", F.coalesce(F.col("_no") - 1, F.lit(-1)).cast("int").alias("label"))
+        .join(placed, "key", "left")
+        .select("features", "core", F.array(*[label_of(F.lit(i)) for i in range(len(settings))]).alias("labels"))
     )
     return rows.join(labels, "features").select(
-        F.col("row_key").alias(key), "label", F.col("core").alias("is_core")
+        F.col("row_key").alias(key), "labels", F.col("core").alias("cores")
     )
 
 
