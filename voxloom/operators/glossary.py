@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.checks import require_choice, require_columns
 from voxloom.functions.text import shifted, words
+from voxloom.session import cut_lineage
 
 # A glossary up to this many terms travels with the plan as one array.
 MAX_ARRAY_TERMS = 2_000
-_KEY_LENGTH = 3
+# Characters in a sequence of the filter, and bits of the Bloom filter in front of the join
+# (128 KB in the plan at any size of the glossary; more terms only let more sequences pass).
+GRAM = 3
+BLOOM_BITS = 1 << 20
 
 
 def tokenised_glossary(glossary: DataFrame) -> DataFrame:
@@ -30,8 +34,10 @@ def relevant_count(
     """Add ``rc``: how many glossary rows occur in the text as a substring.
 
     A small glossary (its rows are counted first) is one array inside the plan
-    and the whole job is a map. A larger one is joined on the first characters
-    of the term against the character sequences of the text, then verified.
+    and the whole job is a map. A larger one is joined by its ``rarest_grams``: a text
+    sends only sequences that pass a Bloom filter of the keys, and a text and a term
+    that share a key are compared. A key is as rare as the texts allow; one that many
+    texts share all the same is left to the skew join of adaptive execution.
     """
     require_choice("method", method, ("auto", "array", "join"))
     terms = glossary.select("Term").where(F.col("Term").isNotNull())
@@ -47,20 +53,79 @@ def relevant_count(
     )
 
 
-def _counts_by_join(df: DataFrame, terms: DataFrame, text: str, key: str) -> DataFrame:
-    weighted = (
-        terms.groupBy("Term")
-        .agg(F.count(F.lit(1)).alias("_w"))
-        .withColumn("_k", F.substring("Term", 1, _KEY_LENGTH))
+def _grams(text: Column) -> Column:
+    """The distinct sequences of 1 to ``GRAM`` characters of a text, and the empty one."""
+    here = shifted(F.split(text, ""), GRAM)
+
+    def from_here(place: Column) -> Column:
+        starts = [F.concat(*[place[f"w{i}"] for i in range(n)]) for n in range(1, GRAM + 1)]
+        return F.array(*starts)
+
+    # A sequence that would reach past the end is null.
+    every = F.concat(F.array(F.lit("")), F.flatten(F.transform(here, from_here)))
+    return F.array_distinct(F.filter(every, lambda g: g.isNotNull()))
+
+
+def _place(gram: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(gram, F.lit(seed)), F.lit(BLOOM_BITS))
+
+
+def _bloom(keys: DataFrame) -> Column:
+    """A Bloom filter over the column ``_k``: one array of ``BLOOM_BITS / 64`` words."""
+    places = keys.select(F.explode(F.array(_place(F.col("_k"), 1), _place(F.col("_k"), 2))).alias("_bit"))
+    filled = places.groupBy(F.shiftright("_bit", 6).alias("_at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))")).alias("_word")
     )
-    overlapping = [
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
-        for n in range(1, _KEY_LENGTH + 1)
-    ]
-    sequences = F.array_distinct(F.concat(F.array(F.lit("")), *overlapping))
-    pieces = df.select(key, F.explode(sequences).alias("_k"))
-    candidates = pieces.join(weighted, "_k").select(key, "Term", "_w")
-    verified = candidates.join(df.select(key, text), key).where(F.contains(F.col(text), F.col("Term")))
+    slots = keys.sparkSession.range(BLOOM_BITS // 64).withColumnRenamed("id", "_at")
+    words_of = slots.join(filled, "_at", "left").select(
+        F.struct("_at", F.coalesce("_word", F.lit(0)).alias("_word")).alias("_slot")
+    )
+    listed = F.transform(F.array_sort(F.collect_list("_slot")), lambda slot: slot["_word"])
+    return words_of.agg(listed).scalar()
+
+
+def _may_hold(bloom: Column, gram: Column) -> Column:
+    found = F.lit(True)
+    for seed in (1, 2):
+        place = _place(gram, seed)
+        word = F.get(bloom, F.shiftright(place, 6).cast("int"))
+        bit = F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int"))
+        found = found & (bit.bitwiseAND(F.lit(1)) == 1)
+    return found
+
+
+def rarest_grams(df: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """``Term, _w, _k, _n``: each term that may occur, its weight and its rarest sequence.
+
+    A text that holds a term holds all its sequences of ``GRAM`` characters (the whole term
+    if it is shorter), so the one that the fewest texts hold (``_n`` texts) is its key. A
+    term with a sequence that no text holds is left out: it occurs nowhere.
+    """
+    weighted = terms.groupBy("Term").agg(F.count(F.lit(1)).alias("_w"))
+    length = F.least(F.length("Term"), F.lit(GRAM))
+    longest = F.filter(_grams(F.col("Term")), lambda g: F.length(g) == length)
+    grams = weighted.select("Term", "_w", F.explode(longest).alias("_k"))
+    held = _held(df.select(text), grams, text).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    texts = F.coalesce("_n", F.lit(0))
+    keyed = grams.join(held, "_k", "left").groupBy("Term", "_w").agg(
+        F.min_by("_k", F.struct(texts, "_k")).alias("_k"), F.min(texts).alias("_n")
+    )
+    return keyed.where(F.col("_n") > 0)
+
+
+def _held(df: DataFrame, keys: DataFrame, text: str) -> DataFrame:
+    """One row for every text and sequence in it that may be one of ``keys._k``."""
+    bloom = _bloom(keys.select("_k").distinct())
+    others = [c for c in df.columns if c != text]
+    sequences = df.select(*others, F.explode(_grams(F.col(text))).alias("_k"))
+    return sequences.where(_may_hold(bloom, F.col("_k")))
+
+
+def _counts_by_join(df: DataFrame, terms: DataFrame, text: str, key: str) -> DataFrame:
+    keyed = cut_lineage(rarest_grams(df, terms, text))
+    candidates = _held(df.select(key, text), keyed, text).join(keyed, "_k")
+    verified = candidates.select(key, "Term", "_w").join(df.select(key, text), key)
+    verified = verified.where(F.contains(F.col(text), F.col("Term")))
     return verified.groupBy(key).agg(F.sum("_w").cast("int").alias("rc"))
 
 
