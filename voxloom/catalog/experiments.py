@@ -182,12 +182,15 @@ def t13(spark, folder):
     return df.select("run", F.regexp_replace(text, "^dbscan", "HIGH").alias("id"))
 
 
-_GRID_SQL = """WITH dims AS (SELECT max(len(embedding)) AS d FROM embeddings),
+def grid_sql(limits: str) -> str:
+    """The grid of a study; ``limits`` has the bounds of the components: ``d``, and ``u`` for umap."""
+    return f"""WITH dims AS ({limits}),
   r AS (SELECT unnest(['none', 'pca', 'umap']) AS reduction_method),
   base AS (SELECT reduction_method, CASE WHEN reduction_method = 'none' THEN NULL ELSE c END
       AS n_components FROM r, (SELECT unnest([2, 10, 50, 100]) AS c)
     WHERE reduction_method <> 'none' OR c = 2),
-  ok AS (SELECT base.* FROM base, dims WHERE n_components IS NULL OR n_components < d)
+  ok AS (SELECT base.* FROM base, dims WHERE n_components IS NULL
+    OR n_components < CASE WHEN reduction_method = 'umap' THEN u ELSE d END)
 SELECT algorithm, reduction_method, n_components, CAST(k AS INTEGER) AS k_value,
   NULL::DOUBLE AS eps, NULL::INTEGER AS min_samples,
   algorithm || '_' || reduction_method || '_comp' || coalesce(n_components::VARCHAR, 'None')
@@ -198,11 +201,14 @@ UNION ALL
 SELECT 'dbscan', reduction_method, n_components, NULL, s.e, s.m,
   'dbscan_' || reduction_method || '_comp' || coalesce(n_components::VARCHAR, 'None')
     || '_eps' || s.t || '_min' || s.m
-FROM ok, (SELECT unnest([{'e': 0.3::DOUBLE, 't': '0.3', 'm': 5}, {'e': 0.5, 't': '0.5', 'm': 5},
-  {'e': 0.7, 't': '0.7', 'm': 5}, {'e': 0.5, 't': '0.5', 'm': 3}, {'e': 0.5, 't': '0.5', 'm': 10}])
+FROM ok, (SELECT unnest([{{'e': 0.3::DOUBLE, 't': '0.3', 'm': 5}}, {{'e': 0.5, 't': '0.5', 'm': 5}},
+  {{'e': 0.7, 't': '0.7', 'm': 5}}, {{'e': 0.5, 't': '0.5', 'm': 3}}, {{'e': 0.5, 't': '0.5', 'm': 10}}])
   AS s)"""
 
 
+_GRID_SQL = grid_sql("SELECT max(len(embedding)) AS d, max(len(embedding)) AS u FROM embeddings")
+
+
 @query("t14_experiment_grid", _GRID_SQL)
 def t14(spark, folder):
     sizes = I.embeddings(spark, folder).agg(F.max(F.size("features"))).first()

@@ -6,8 +6,10 @@ import re
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from voxloom.catalog import inputs as I
+from voxloom.catalog.experiments import grid_sql
 from voxloom.functions.vectors import l2_norm, mean_by
 from voxloom.operators import experiments as X
 from voxloom.operators import fuzzy, quality, relevance
@@ -627,17 +629,79 @@ def m26(spark, folder):
     )
 
 
-@query("m27_study")
+def _held_sql(limits: str, algorithms: str) -> str:
+    """Every combination of the grid is there once and all that must be true of it is true."""
+    return f"""SELECT combination_id, algorithm, reduction_method, n_components, k_value,
+  true AS clusters_hold, true AS scores_hold, true AS params_hold, true AS total_holds
+FROM ({grid_sql(limits)}) WHERE {algorithms}"""
+
+
+def study_holds(study, points: int):
+    """What must be true of every row of a study of so many points, whatever the models found.
+
+    ``clusters_hold``: k-means and Ward find k clusters, the others no more than asked for.
+    ``scores_hold``: scores are in their ranges. ``params_hold``: the record of the fit is there
+    and in its bounds. ``total_holds``: inertia W and Calinski-Harabasz score C of k-means give
+    the same total sum of squares W (1 + C (k - 1) / (n - k)) for every k of a reduction.
+    """
+    k, found, params = F.col("k_value"), F.col("n_clusters_found"), F.col("params")
+    algorithm = F.col("algorithm")
+    clusters = (
+        F.when(algorithm.isin("kmeans", "agglomerative"), found == k)
+        .when(algorithm == "dbscan", found.between(0, points))
+        .otherwise(found.between(1, k))
+    )
+    silhouette, separation = F.col("silhouette_score"), F.col("davies_bouldin_score")
+    scores = silhouette.between(-1.0, 1.0) & (F.col("calinski_harabasz_score") >= 0) & (separation >= 0)
+    scores = F.when(found < 2, silhouette == quality.SENTINEL[0]).otherwise(scores)
+    recorded = (
+        F.when(algorithm == "kmeans", (params["inertia"] > 0) & (params["iterations"] >= 1))
+        .when(
+            algorithm == "fuzzy_cmeans",
+            params["fpc"].between(1 / k - 1e-9, 1 + 1e-9)
+            & (params["objective"] > 0)
+            & (params["iterations"] >= 1)
+            & params["multiple_membership"].between(0, points),
+        )
+        .when(algorithm == "lda", params["log_likelihood"] < 0)
+        .when(algorithm == "dbscan", params["noise"].between(0, points))
+        .otherwise(F.lit(True))
+    )
+    total = params["inertia"] * (1 + F.col("calinski_harabasz_score") * (k - 1) / (points - k))
+    slot = W.partitionBy("reduction_method", "n_components")
+    total = F.when(algorithm == "kmeans", total)
+    spread_of = F.max(total).over(slot) / F.min(total).over(slot) - 1
+    return study.select(
+        "combination_id", "algorithm", "reduction_method", "n_components", "k_value",
+        F.coalesce(clusters, F.lit(False)).alias("clusters_hold"),
+        F.coalesce(scores, F.lit(False)).alias("scores_hold"),
+        F.coalesce(recorded, F.lit(False)).alias("params_hold"),
+        F.when(algorithm == "kmeans", spread_of < 1e-3).otherwise(F.lit(True)).alias("total_holds"),
+    )
+
+
+@query(
+    "m27_study",
+    _held_sql("SELECT max(len(embedding)) AS d, count(*) AS u FROM embeddings", "true"),
+)
 def m27(spark, folder):
     points = I.embeddings(spark, folder).drop("label")
     size, rows = points.agg(F.max(F.size("features")), F.count(F.lit(1))).first()
-    return run_study(points, X.grid(spark, size, rows_for_umap=rows))
+    return study_holds(run_study(points, X.grid(spark, size, rows_for_umap=rows)), rows)
 
 
-@query("m28_fuzzy_study")
+@query(
+    "m28_fuzzy_study",
+    f"WITH {I.REVIEWS} "
+    + _held_sql(
+        "SELECT 6 AS d, count(*) AS u FROM (SELECT DISTINCT Review FROM reviews)",
+        "algorithm = 'fuzzy_cmeans'",
+    ),
+)
 def m28(spark, folder):
     df = _embedded_reviews(spark, folder)
-    return fuzzy_study(df)
+    study = fuzzy_study(df)
+    return study_holds(study, df.select("Review").distinct().count())
 
 
 _PROMPTS = (
