@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from voxloom.catalog import inputs as I
 from voxloom.catalog.experiments import grid_sql
+from voxloom.catalog.texts import STOP_WORDS, tokens_sql
 from voxloom.functions.vectors import l2_norm, mean_by
 from voxloom.operators import experiments as X
 from voxloom.operators import fuzzy, quality, relevance
@@ -38,6 +39,11 @@ from voxloom.operators.respond import respond
 from voxloom.operators.scoring import score_with
 from voxloom.operators.topics import as_counts, fit_topics
 from voxloom.operators.ward import ward
+from voxloom.operators.word_vectors import (
+    cooccurrences,
+    embed_with_word_vectors,
+    fit_word_vectors,
+)
 from voxloom.plans.choose_k import choose_k, cluster_reviews
 from voxloom.plans.end_to_end import mine_requirements
 from voxloom.plans.study import fuzzy_study, run_combination, run_study
@@ -256,6 +262,47 @@ def m6_w2v(spark, folder):
     )
 
 
+_NEAR = ", ".join(f"lead(w, {i}) OVER (PARTITION BY review_id ORDER BY p)" for i in range(1, 6))
+
+
+@query(
+    "m6_cooccurrences",
+    f"""WITH {I.REVIEWS}, {tokens_sql()},
+  flat AS (SELECT review_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS p FROM tok),
+  near AS (SELECT w, unnest([{_NEAR}]) AS o FROM flat),
+  both_ways AS (SELECT w AS word, o AS context FROM near UNION ALL SELECT o, w FROM near)
+SELECT word, count(*) AS contexts, CAST(sum(n) AS BIGINT) AS near, CAST(sum(n * n) AS BIGINT) AS squares,
+  min(context) AS first, max(context) AS last
+FROM (SELECT word, context, count(*) AS n FROM both_ways
+  WHERE word IS NOT NULL AND context IS NOT NULL GROUP BY ALL) GROUP BY word""",
+)
+def m6_counts(spark, folder):
+    """The counts of all pairs, a row for each word."""
+    pairs = cooccurrences(spread(I.reviews(spark, folder), "review_id"), stop_words=STOP_WORDS)
+    n = F.col("n")
+    return pairs.groupBy("word").agg(
+        F.count(F.lit(1)).alias("contexts"), F.sum(n).alias("near"), F.sum(n * n).alias("squares"),
+        F.min("context").alias("first"), F.max("context").alias("last"),
+    )
+
+
+@query(
+    "m6_word_vectors",
+    f"""WITH {I.REVIEWS}, {tokens_sql()}
+SELECT review_id, CAST(64 AS INTEGER) AS dimension, true AS unit_or_zero FROM tok""",
+)
+def m6_vectors(spark, folder):
+    reviews = spread(I.reviews(spark, folder), "review_id")
+    vectors = fit_word_vectors(reviews, stop_words=STOP_WORDS)
+    df = embed_with_word_vectors(reviews, vectors, stop_words=STOP_WORDS)
+    norm = l2_norm(F.col("features"))
+    return df.select(
+        "review_id",
+        F.size("features").alias("dimension"),
+        ((norm == 0) | (F.abs(norm - 1) < 1e-9)).alias("unit_or_zero"),
+    )
+
+
 @query("m7_pca")
 def m7(spark, folder):
     scores, share = pca(I.embeddings(spark, folder), 10)

@@ -41,7 +41,7 @@ _NORMAL = "trim(regexp_replace(lower(Review), '[^a-záéíóúñü]+', ' ', 'g')
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
-def _tokens_sql(source: str = "reviews") -> str:
+def tokens_sql(source: str = "reviews") -> str:
     """Token lists; contractions are split by looking each word up."""
     return f"""tok AS (SELECT * EXCLUDE (raw, Review), Review, list_filter(flatten(list_transform(raw, lambda w:
     CASE w WHEN 'cannot' THEN ['can', 'not'] WHEN 'gimme' THEN ['gim', 'me']
@@ -61,7 +61,7 @@ def t1(spark, folder):
 
 @query(
     "t2_content_tokens",
-    f"WITH {I.REVIEWS}, {_tokens_sql()} SELECT review_id,"
+    f"WITH {I.REVIEWS}, {tokens_sql()} SELECT review_id,"
     " coalesce(array_to_string(tokens, ' '), '') AS clean FROM tok",
 )
 def t2(spark, folder):
@@ -73,7 +73,7 @@ def _ngram_sql(n: int) -> str:
     gram = " || ' ' || ".join(
         ["w"] + [f"lead(w, {i}) OVER (PARTITION BY Cluster ORDER BY review_id, p)" for i in range(1, n)]
     )
-    return f"""WITH {I.CLUSTERED}, {_tokens_sql('clustered')},
+    return f"""WITH {I.CLUSTERED}, {tokens_sql('clustered')},
   flat AS (SELECT Cluster, review_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS p FROM tok),
   grams AS (SELECT Cluster, review_id, p, {gram} AS ngram FROM flat),
   counted AS (SELECT Cluster, ngram, count(*) AS n, min((review_id, p)) AS first_at FROM grams
@@ -102,7 +102,7 @@ def t3_all(spark, folder):
     return P.ngrams(_tokens(spark, folder), 2).drop("first_at")
 
 
-_TFIDF = f"""WITH {I.CLUSTERED}, {_tokens_sql('clustered')},
+_TFIDF = f"""WITH {I.CLUSTERED}, {tokens_sql('clustered')},
   sizes AS (SELECT Cluster, count(*) AS n FROM tok GROUP BY Cluster),
   tf AS (SELECT Cluster, review_id, term, count(*) AS tf FROM
     (SELECT Cluster, review_id, unnest(tokens) AS term FROM tok) WHERE length(term) >= 2 GROUP BY ALL),
@@ -135,9 +135,9 @@ def t4_top(spark, folder):
     f"""{_TFIDF}, terms AS (SELECT Cluster, string_agg(term, ',' ORDER BY place) AS terms FROM
   (SELECT *, row_number() OVER (PARTITION BY Cluster ORDER BY round(score, 9) DESC, term) AS place
    FROM scores) WHERE place <= 20 GROUP BY Cluster),
-  bi AS ({_ngram_sql(2).replace('WITH ' + I.CLUSTERED + ', ' + _tokens_sql('clustered') + ',', 'WITH')}),
+  bi AS ({_ngram_sql(2).replace('WITH ' + I.CLUSTERED + ', ' + tokens_sql('clustered') + ',', 'WITH')}),
   bis AS (SELECT Cluster, string_agg(ngram || ':' || n, ',' ORDER BY place) AS bigrams FROM bi GROUP BY Cluster),
-  tri AS ({_ngram_sql(3).replace('WITH ' + I.CLUSTERED + ', ' + _tokens_sql('clustered') + ',', 'WITH')}),
+  tri AS ({_ngram_sql(3).replace('WITH ' + I.CLUSTERED + ', ' + tokens_sql('clustered') + ',', 'WITH')}),
   tris AS (SELECT Cluster, string_agg(ngram || ':' || n, ',' ORDER BY place) AS trigrams FROM tri GROUP BY Cluster),
   base AS (SELECT Cluster, count(*) AS size, round(avg(length(Review)), 6) AS avg_text_length
     FROM clustered GROUP BY Cluster),
