@@ -53,19 +53,26 @@ def relevant_count(
     )
 
 
-def _grams(text: Column) -> Column:
-    """The distinct sequences of 1 to ``GRAM`` characters of a text, and the empty one."""
+def _grams(text: Column, lengths: list[int]) -> Column:
+    """The distinct sequences of so many characters (0 to ``GRAM``) of a text."""
     here = shifted(F.split(text, ""), GRAM)
 
-    def from_here(place: Column) -> Column:
-        starts = [F.concat(*[place[f"w{i}"] for i in range(n)]) for n in range(1, GRAM + 1)]
-        return F.array(*starts)
+    def of_length(n: int) -> Column:
+        if n == 0:
+            return F.when(text.isNotNull(), F.array(F.lit("")))
+        # A sequence that would reach past the end is null.
+        return F.transform(here, lambda place: F.concat(*[place[f"w{i}"] for i in range(n)]))
 
-    # A sequence that would reach past the end is null.
-    every = F.concat(F.array(F.lit("")), F.flatten(F.transform(here, from_here)))
+    every = F.concat(*[of_length(n) for n in lengths])
     return F.array_distinct(F.filter(every, lambda g: g.isNotNull()))
 
 
+def _lengths(strings: DataFrame, column: str) -> list[int]:
+    """The lengths up to ``GRAM`` that occur, a handful of numbers."""
+    length = F.least(F.length(column), F.lit(GRAM)).alias("_l")
+    return [r["_l"] for r in strings.select(length).distinct().orderBy("_l").collect()] or [GRAM]
+
+
 def _place(gram: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(gram, F.lit(seed)), F.lit(BLOOM_BITS))
 
@@ -103,9 +110,10 @@ def rarest_grams(df: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     """
     weighted = terms.groupBy("Term").agg(F.count(F.lit(1)).alias("_w"))
     length = F.least(F.length("Term"), F.lit(GRAM))
-    longest = F.filter(_grams(F.col("Term")), lambda g: F.length(g) == length)
+    longest = F.filter(_grams(F.col("Term"), list(range(GRAM + 1))), lambda g: F.length(g) == length)
     grams = weighted.select("Term", "_w", F.explode(longest).alias("_k"))
-    held = _held(df.select(text), grams, text).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    lengths = _lengths(weighted, "Term")
+    held = _held(df.select(text), grams, text, lengths).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     texts = F.coalesce("_n", F.lit(0))
     keyed = grams.join(held, "_k", "left").groupBy("Term", "_w").agg(
         F.min_by("_k", F.struct(texts, "_k")).alias("_k"), F.min(texts).alias("_n")
@@ -113,17 +121,17 @@ def rarest_grams(df: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     return keyed.where(F.col("_n") > 0)
 
 
-def _held(df: DataFrame, keys: DataFrame, text: str) -> DataFrame:
+def _held(df: DataFrame, keys: DataFrame, text: str, lengths: list[int]) -> DataFrame:
     """One row for every text and sequence in it that may be one of ``keys._k``."""
     bloom = _bloom(keys.select("_k").distinct())
     others = [c for c in df.columns if c != text]
-    sequences = df.select(*others, F.explode(_grams(F.col(text))).alias("_k"))
+    sequences = df.select(*others, F.explode(_grams(F.col(text), lengths)).alias("_k"))
     return sequences.where(_may_hold(bloom, F.col("_k")))
 
 
 def _counts_by_join(df: DataFrame, terms: DataFrame, text: str, key: str) -> DataFrame:
     keyed = cut_lineage(rarest_grams(df, terms, text))
-    candidates = _held(df.select(key, text), keyed, text).join(keyed, "_k")
+    candidates = _held(df.select(key, text), keyed, text, _lengths(keyed, "_k")).join(keyed, "_k")
     verified = candidates.select(key, "Term", "_w").join(df.select(key, text), key)
     verified = verified.where(F.contains(F.col(text), F.col("Term")))
     return verified.groupBy(key).agg(F.sum("_w").cast("int").alias("rc"))
