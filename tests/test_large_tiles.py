@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from voxloom.operators import quality, tiles
+from voxloom.operators import neighbours, quality, tiles, ward
 from voxloom.plans import choose_k as C
 
 
@@ -69,3 +69,48 @@ def test_all_k_are_scored_in_one_look(spark, monkeypatch):
         assert r["silhouette"] == pytest.approx(quality.silhouette(alone).first()[0], abs=1e-9)
         assert r["chosen"] == (r["k"] == best)
     assert labelled.columns == ["review_id", "features", "label"] and labelled.count() == 170
+
+
+@pytest.mark.parametrize("dimensions,away", [(2, 0.0), (32, 0.0), (32, 1e3)])
+def test_nearest_rows_of_two_tiles(dimensions, away):
+    x, y = grouped(300, dimensions, away=away), grouped(2_500, dimensions, 1, away)
+    y[:300] = x
+    a = pd.DataFrame({"key": np.arange(300), "features": list(x)})
+    b = pd.DataFrame({"key": np.arange(2_500), "features": list(y)})
+    d = np.sqrt(tiles.squared_distances(x, y))
+    d[np.arange(300), np.arange(300)] = np.inf
+    got = neighbours._nearest(7, a, b)
+    for i in range(300):
+        order = np.lexsort((np.arange(2_500), d[i]))[:7]
+        mine = got[got["key"] == i]
+        assert list(mine["neighbour"]) == list(order) and list(mine["distance"]) == list(d[i, order])
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_cheapest_partners_of_two_tiles(same):
+    x, y = grouped(300, 32), grouped(1_300, 32, 1)
+    rng = np.random.default_rng(4)
+    sizes = [rng.integers(1, 4, n).astype(float) for n in (300, 1_300)]
+    a = pd.DataFrame({"key": rng.permutation(300), "features": list(x), "size": sizes[0]})
+    b = pd.DataFrame({"key": 300 + rng.permutation(1_300), "features": list(y), "size": sizes[1]})
+    b = a if same else b
+    cost, ids_a, ids_b = ward._costs(a, b), a["key"].to_numpy(), b["key"].to_numpy()
+    want = [ward._first_best(cost, ids_a, ids_b)] + ([] if same else [ward._first_best(cost.T, ids_b, ids_a)])
+    want = pd.concat(want).sort_values("key").reset_index(drop=True)
+    got = ward._nearest(a, b, same).sort_values("key").reset_index(drop=True)
+    assert (got[["key", "other", "cost"]] == want[["key", "other", "cost"]]).all().all()
+
+
+def test_all_points_meet_where_bounds_rule_out_little(spark, monkeypatch):
+    x = grouped(400, 20, 5)
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(x)]
+    df = spark.createDataFrame(rows, "review_id bigint, features array<double>")
+    want = neighbours.neighbour_search(df, 5, tile_rows=20)[0].collect()
+    for name, value in {"SEARCHED_TILES": 2, "JUDGES": 32, "SLAB_ROWS": 150, "TILE_ROWS": 90}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    used = []
+    run = neighbours._search_all
+    monkeypatch.setattr(neighbours, "_search_all", lambda *a: used.append(1) or run(*a))
+    found, visits = neighbours.neighbour_search(df, 5, tile_rows=20)
+    assert used and sorted(found.collect()) == sorted(want)
+    assert neighbours.visited_share(visits).first()["share"] == 1
