@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from voxloom.operators import neighbours, quality, tiles, ward
+from voxloom.operators import balls, dbscan, neighbours, quality, tiles, ward
 from voxloom.plans import choose_k as C
 
 
@@ -106,11 +106,17 @@ def test_all_points_meet_where_bounds_rule_out_little(spark, monkeypatch):
     rows = [(i, [float(v) for v in p]) for i, p in enumerate(x)]
     df = spark.createDataFrame(rows, "review_id bigint, features array<double>")
     want = neighbours.neighbour_search(df, 5, tile_rows=20)[0].collect()
-    for name, value in {"SEARCHED_TILES": 2, "JUDGES": 32, "SLAB_ROWS": 150, "TILE_ROWS": 90}.items():
-        monkeypatch.setattr(neighbours, name, value)
+    labels = dbscan.dbscan(df, 5.0, 5, tile_rows=20).orderBy("review_id").collect()
+    monkeypatch.setattr(balls, "SEARCHED_TILES", 2)
+    monkeypatch.setattr(balls, "JUDGES", 32)
+    monkeypatch.setattr(neighbours, "SLAB_ROWS", 150)
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 90)
     used = []
     run = neighbours._search_all
     monkeypatch.setattr(neighbours, "_search_all", lambda *a: used.append(1) or run(*a))
     found, visits = neighbours.neighbour_search(df, 5, tile_rows=20)
     assert used and sorted(found.collect()) == sorted(want)
     assert neighbours.visited_share(visits).first()["share"] == 1
+    monkeypatch.setattr(dbscan, "reached_pairs", None)
+    assert dbscan.dbscan(df, 5.0, 5, tile_rows=20).orderBy("review_id").collect() == labels
+    assert len({r["label"] for r in labels}) > 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,69 +11,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.ranking import id_bucket, number_rows
-from voxloom.operators.balls import Balls, ball_tiles, reached_pairs
+from voxloom.operators.balls import Balls, ball_tiles, mostly_reached, reached_pairs
 from voxloom.operators.components import connected_components
-from voxloom.operators.tiles import TILE_ROWS, matrix, over_pairs, squared_distances
+from voxloom.operators.tiles import (
+    BLOCK_COLUMNS,
+    BLOCK_ROWS,
+    TILE_ROWS,
+    Kernel,
+    estimated_squares,
+    large_tile_rows,
+    matrix,
+    over_all_pairs,
+    over_pairs,
+    squared_pairs,
+)
 from voxloom.session import cut_lineage
 
 
-def _near(a: pd.DataFrame, b: pd.DataFrame, radii: list[float]) -> list[np.ndarray]:
-    """Which points of two tiles are near, for every radius, from one look at the distances."""
-    away = squared_distances(matrix(a["features"]), matrix(b["features"]))
-    return [away <= eps * eps for eps in radii]
+def _near_blocks(a: pd.DataFrame, b: pd.DataFrame, radii: list[float]) -> Iterator[tuple]:
+    """``rows, columns, near``: which points of two tiles are near, for every radius, by blocks.
+
+    A matrix product decides what it can for sure, plain differences the rest.
+    """
+    x, y = matrix(a["features"]), matrix(b["features"])
+    for top in range(0, len(x), BLOCK_ROWS):
+        for left in range(0, len(y), BLOCK_COLUMNS):
+            rows, columns = slice(top, top + BLOCK_ROWS), slice(left, left + BLOCK_COLUMNS)
+            square, error = estimated_squares(x[rows], y[columns])
+            near = []
+            for eps in radii:
+                away = square - eps * eps
+                inside = away <= 0
+                if error.any():
+                    i, j = np.nonzero(np.abs(away) <= error[:, None] + 1e-12 * eps * eps)
+                    inside[i, j] = squared_pairs(x[rows], y[columns], i, j) <= eps * eps
+                else:
+                    inside = square <= eps * eps
+                near.append(inside)
+            yield rows, columns, near
 
 
 def _neighbour_weights(radii: list[float]):
     names = [f"w{i}" for i in range(len(radii))]
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = _near(a, b, radii)
         weight_a, weight_b = a["weight"].to_numpy(), b["weight"].to_numpy()
-        parts = [pd.DataFrame({"key": a["key"]} | {n: m @ weight_b for n, m in zip(names, near)})]
+        of_a, of_b = np.zeros((len(radii), len(a))), np.zeros((len(radii), len(b)))
+        for rows, columns, near in _near_blocks(a, b, radii):
+            for i, inside in enumerate(near):
+                of_a[i, rows] += inside @ weight_b[columns]
+                of_b[i, columns] += weight_a[rows] @ inside
+        parts = [pd.DataFrame({"key": a["key"]} | dict(zip(names, of_a)))]
         if not same:
-            parts.append(pd.DataFrame({"key": b["key"]} | {n: m.T @ weight_a for n, m in zip(names, near)}))
+            parts.append(pd.DataFrame({"key": b["key"]} | dict(zip(names, of_b))))
         out = pd.concat(parts)
         return out[out[names].max(axis=1) > 0]
 
     return kernel
 
 
-def _forest(near: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest reachable id for every point of two tiles with any link."""
-    low_a, low_b = ids_a.copy(), ids_b.copy()
-    big = np.iinfo("int64").max
-    while True:
-        new_b = np.minimum(low_b, np.where(near, low_a[:, None], big).min(axis=0, initial=big))
-        new_a = np.minimum(low_a, np.where(near, new_b[None, :], big).min(axis=1, initial=big))
-        if (new_a == low_a).all() and (new_b == low_b).all():
-            break
-        low_a, low_b = new_a, new_b
-    ids, low = np.concatenate((ids_a, ids_b)), np.concatenate((low_a, low_b))
-    return ids[ids != low], low[ids != low]
+def _hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of linked nodes, the larger root below the smaller, until none differ."""
+    while len(i):
+        while (parent != parent[parent]).any():
+            parent[:] = parent[parent]
+        low, high = np.minimum(parent[i], parent[j]), np.maximum(parent[i], parent[j])
+        apart = low != high
+        i, j = i[apart], j[apart]
+        np.minimum.at(parent, high[apart], low[apart])
 
 
 def _links(radii: list[float], settings: list[tuple[float, int]]):
     """Links between core points, as a forest, and the core points next to border points."""
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        nears = _near(a, b, radii)
         ids_a, ids_b = a["key"].to_numpy(), b["key"].to_numpy()
         cores_a, cores_b = np.stack(a["core"].to_list()), np.stack(b["core"].to_list())
+        ids, place = np.unique(np.concatenate((ids_a, ids_b)), return_inverse=True)
+        place_a, place_b = place[: len(ids_a)], place[len(ids_a) :]
+        # Nodes are in the order of their ids, so a root is the smallest id of its tree.
+        parents = [np.arange(len(ids)) for _ in settings]
         parts = []
 
         def add(setting: int, kind: str, src: np.ndarray, dst: np.ndarray) -> None:
-            parts.append(pd.DataFrame({"setting": setting, "kind": kind, "src": src, "dst": dst}))
-
-        for setting, (eps, _) in enumerate(settings):
-            near = nears[radii.index(eps)]
-            core_a, core_b = cores_a[:, setting], cores_b[:, setting]
-            add(setting, "core", *_forest(near[np.ix_(core_a, core_b)], ids_a[core_a], ids_b[core_b]))
-            i, j = np.nonzero(near & ~core_a[:, None] & core_b[None, :])
-            add(setting, "border", ids_a[i], ids_b[j])
-            if not same:
-                i, j = np.nonzero(near & core_a[:, None] & ~core_b[None, :])
-                add(setting, "border", ids_b[j], ids_a[i])
-        return pd.concat(parts)
+            if len(src):
+                parts.append(pd.DataFrame({"setting": setting, "kind": kind, "src": src, "dst": dst}))
+
+        for rows, columns, nears in _near_blocks(a, b, radii):
+            for setting, (eps, _) in enumerate(settings):
+                near = nears[radii.index(eps)]
+                core_a, core_b = cores_a[rows, setting], cores_b[columns, setting]
+                i, j = np.nonzero(near & core_a[:, None] & core_b[None, :])
+                _hook(parents[setting], place_a[rows][i], place_b[columns][j])
+                i, j = np.nonzero(near & ~core_a[:, None] & core_b[None, :])
+                add(setting, "border", ids_a[rows][i], ids_b[columns][j])
+                if not same:
+                    i, j = np.nonzero(near & core_a[:, None] & ~core_b[None, :])
+                    add(setting, "border", ids_b[columns][j], ids_a[rows][i])
+        for setting, parent in enumerate(parents):
+            below = parent != np.arange(len(ids))
+            add(setting, "core", ids[below], ids[parent[below]])
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["setting", "kind", "src", "dst"])
 
     return kernel
 
@@ -126,7 +165,7 @@ def dbscan_settings(
 
     Equal points are merged into one weighted point first, so copies cost one
     row. Neighbours are counted over the tiles that the largest ``eps`` reaches by the bounds
-    of ``ball_tiles``, in any number of dimensions; one look at the distances of two tiles
+    of ``ball_tiles``, or over all pairs of larger tiles where the bounds rule out little; one look at the distances of two tiles
     serves all settings. Core points are linked by a forest per tile pair and setting, and
     the graphs of all settings are joined by the same rounds of connected components. A
     border point has fewer than ``min_samples`` neighbours, so listing its core neighbours
@@ -142,15 +181,26 @@ def dbscan_settings(
         )
     radii = sorted({eps for eps, _ in settings})
     tiled = balls.points.select("key", "features", "weight", "_tile")
-    pairs = cut_lineage(reached_pairs(balls, radii[-1]))
+    if mostly_reached(balls, balls.points, F.lit(radii[-1])):
+        count = tiled.count()
+
+        def visit(points: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+            return over_all_pairs(points.drop("_tile"), count, kernel, schema, tile_rows=large_tile_rows(count))
+
+    else:
+        pairs = cut_lineage(reached_pairs(balls, radii[-1]))
+
+        def visit(points: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+            return over_pairs(points, pairs, kernel, schema)
+
     schema = ", ".join(["key bigint", *[f"w{i} double" for i in range(len(radii))]])
-    weights = over_pairs(tiled, pairs, _neighbour_weights(radii), schema)
+    weights = visit(tiled, _neighbour_weights(radii), schema)
     counted = weights.groupBy("key").agg(
         F.array(*[F.sum(f"w{radii.index(e)}") >= least for e, least in settings]).alias("core")
     )
     marked = cut_lineage(tiled.join(counted, "key"))
     schema = "setting int, kind string, src bigint, dst bigint"
-    links = cut_lineage(over_pairs(marked, pairs, _links(radii, settings), schema))
+    links = cut_lineage(visit(marked, _links(radii, settings), schema))
     components = connected_components(links.where("kind = 'core'"), within=["setting"])
     core = (
         marked.select("key", F.posexplode("core").alias("setting", "is_core"))
