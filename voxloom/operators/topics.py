@@ -18,6 +18,8 @@ from voxloom.operators.many import add_up, slot_columns
 ROW_ROUNDS = 100
 FIT_ROUNDS = 20
 ROW_TOLERANCE = 1e-5
+# Rows that a task of a fit has at least when a scan is dealt to more tasks.
+ROWS_A_TASK = 1_024
 
 
 def as_counts(df: DataFrame, features: str = "features", out: str = "counts") -> DataFrame:
@@ -64,7 +66,12 @@ def fit_topics(
     The fit sees every row about ``passes`` times, in batches that hold ``share``
     of them, whatever their number.
     """
-    counted = _counted(df, features).persist()
+    counted = _counted(df, features)
+    # A small file is one task, whatever the passes over it cost.
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, df.count() // ROWS_A_TASK)
+    if tasks > counted.rdd.getNumPartitions():
+        counted = counted.repartition(tasks, features)
+    counted = counted.persist()
     model = _lda(k, seed, passes, share).fit(counted)
     topics = model.transform(counted).withColumn("label", argmax(vector_to_array("_topics")))
     fit = TopicFit(
