@@ -255,8 +255,9 @@ def t8_vector(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
     df = G.position_vector(spread(I.reviews(spark, folder), "review_id"), _phrase_glossary(spark, folder), 120)
-    slots = vector_to_array("rp_vector")
-    on = F.filter(F.sequence(F.lit(0), F.lit(119)), lambda i: slots[i] == 1.0)
+    # The vector is the argument, not a part of the lambda, which would unpack it for each slot.
+    on = F.transform(vector_to_array("rp_vector"), lambda v, i: F.when(v == 1.0, i))
+    on = F.filter(on, lambda i: i.isNotNull())
     return df.select(
         "review_id",
         F.concat(F.lit("["), F.array_join(on.cast("array<string>"), ", "), F.lit("]")).alias("slots"),

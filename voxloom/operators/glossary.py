@@ -156,6 +156,11 @@ def covered_positions(
     the terms in an equality join; a match at position p of a term with m words
     covers p to p + m - 1.
     """
+    return _covered(df, glossary, text, key).distinct()
+
+
+def _covered(df: DataFrame, glossary: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``covered_positions``, a position once for each term that covers it."""
     terms = (
         tokenised_glossary(glossary)
         .select(F.array_join("tokens", " ").alias("_gram"), F.size("tokens").alias("_m"))
@@ -185,7 +190,7 @@ def covered_positions(
     matches = grams.join(terms, ["_gram", "_m"])
     return matches.select(
         key, F.explode(F.sequence(F.col("_p"), F.col("_p") + F.col("_m") - 1)).alias("position")
-    ).distinct()
+    )
 
 
 def position_vector(
@@ -201,13 +206,17 @@ def position_vector(
     Position p is in slot p mod ``size``, so a text of at most ``size`` words has its
     own positions, and every hit of a longer text is in the vector too.
     """
-    covered = (
-        covered_positions(df, glossary, text, key)
-        .groupBy(key)
-        .agg(F.collect_set(F.col("position") % size).alias("_set"))
-    )
-    slots = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.array_contains(F.coalesce("_set", F.array().cast("array<int>")), i).cast("double"),
-    )
-    return df.join(covered, key, "left").withColumn(out, array_to_vector(slots)).drop("_set")
+    place = F.col("position") % size
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place % 64)
+    # A bit for each slot, 64 to a number: the tasks combine them before the shuffle.
+    masks = [
+        F.coalesce(F.bit_or(F.when(F.floor(place / 64) == i, one)), F.lit(0)).alias(f"_bits{i}")
+        for i in range(-(-size // 64))
+    ]
+    covered = _covered(df, glossary, text, key).groupBy(key).agg(*masks)
+    held = [F.coalesce(f"_bits{i}", F.lit(0)) for i in range(len(masks))]
+    slots = [
+        F.shiftright(held[i // 64], i % 64).bitwiseAND(F.lit(1)).cast("double") for i in range(size)
+    ]
+    joined = df.join(covered, key, "left").withColumn(out, array_to_vector(F.array(*slots)))
+    return joined.drop(*[f"_bits{i}" for i in range(len(masks))])
