@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.ranking import number_rows
 from voxloom.operators.glossary import count_vector, position_vector, relevant_count
 from voxloom.operators.scoring import knowledge_kind, score_with_fitted
+from voxloom.session import stored
 
 HASHES = 1 << 14
 MLP_HASHES = 512
@@ -63,7 +64,9 @@ def classifier(
 def train(
     labelled: DataFrame, glossary: DataFrame | None = None, knowledge: str = "None", mlp: bool = False
 ) -> PipelineModel:
-    return classifier(knowledge, mlp).fit(with_knowledge(labelled, glossary, knowledge))
+    # The fit reads its rows for the weights of the words and again for the head.
+    known = with_knowledge(labelled, glossary, knowledge)
+    return classifier(knowledge, mlp).fit(known if knowledge_kind(knowledge) == "None" else stored(known))
 
 
 def predict(
