@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
+from voxloom.functions.lists import counted_values, pieces
 from voxloom.functions.ranking import id_bucket, number_rows
 from voxloom.functions.text import content_tokens, shifted
 from voxloom.operators.cleaning import first_per_cluster
@@ -13,6 +18,8 @@ from voxloom.session import stored
 
 SLICE_ROWS = 1 << 14
 _POSITION_BITS = 24
+# Between the tokens of a review while it travels as one text.
+_SEPARATOR = "\u0000"
 
 
 def with_tokens(
@@ -28,15 +35,19 @@ def preprocessed(
     return df.withColumn(out, F.array_join(content_tokens(F.col(text), stop_words), " "))
 
 
-def ranked_tokens(tokens: DataFrame, cluster: str = "Cluster", order: str = "review_id") -> DataFrame:
-    """Number the reviews that have tokens inside their cluster, as ``_rank``.
+def _packed(tokens: Column) -> Column:
+    """The tokens as one text, a third of the size of an array; null without tokens."""
+    return F.when(F.size(tokens) > 0, F.array_join(tokens, _SEPARATOR))
 
-    Reviews without tokens are numbered after the others. The tokens are written
-    first, since the numbering reads them twice and they cost the most.
-    """
-    kept = stored(tokens.select(cluster, order, "tokens"))
+
+def _unpacked(text: Column) -> Column:
+    return F.coalesce(F.split(text, _SEPARATOR), F.array().cast("array<string>"))
+
+
+def _ranked_text(tokens: DataFrame, cluster: str, order: str) -> DataFrame:
+    kept = stored(tokens.select(cluster, order, _packed(F.col("tokens")).alias("_text")))
     return number_rows(
-        kept.withColumn("_empty", F.size("tokens") == 0),
+        kept.withColumn("_empty", F.col("_text").isNull()),
         [order],
         {"empty": F.col("_empty"), "slice": id_bucket(order)},
         within=[cluster],
@@ -44,6 +55,16 @@ def ranked_tokens(tokens: DataFrame, cluster: str = "Cluster", order: str = "rev
     ).drop("_empty")
 
 
+def ranked_tokens(tokens: DataFrame, cluster: str = "Cluster", order: str = "review_id") -> DataFrame:
+    """Number the reviews that have tokens inside their cluster, as ``_rank``.
+
+    Reviews without tokens are numbered after the others. The tokens are written
+    first, since the numbering reads them twice and they cost the most; they are
+    ``_text`` too, packed into one value.
+    """
+    return _ranked_text(tokens, cluster, order).withColumn("tokens", _unpacked(F.col("_text")))
+
+
 def _following_tokens(numbered: DataFrame, n: int, cluster: str) -> DataFrame:
     """Add ``_next``: the n-1 tokens that follow each review in its cluster.
 
@@ -54,11 +75,12 @@ def _following_tokens(numbered: DataFrame, n: int, cluster: str) -> DataFrame:
     own = F.floor((F.col("_rank") - 1) / SLICE_ROWS)
     borrowed = ((F.col("_rank") - 1) % SLICE_ROWS < n - 1) & (own > 0)
     slices = F.when(borrowed, F.array(own, own - 1)).otherwise(F.array(own))
-    spread = numbered.withColumn("_own", own).withColumn("_slice", F.explode(slices))
+    head = F.slice(_unpacked(F.col("_text")), 1, n - 1)
+    spread = numbered.withColumns({"_own": own, "_head": head}).withColumn("_slice", F.explode(slices))
     ahead = W.partitionBy(cluster, "_slice").orderBy("_rank")
     heads = [
         F.coalesce(
-            F.lead(F.slice("tokens", 1, n - 1), i).over(ahead), F.array().cast("array<string>")
+            F.lead("_head", i).over(ahead), F.array().cast("array<string>")
         )
         for i in range(1, n)
     ]
@@ -80,12 +102,13 @@ def ngrams(
     """
     if "_rank" not in tokens.columns:
         tokens = ranked_tokens(tokens, cluster, order)
-    numbered = tokens.select(cluster, "_rank", "tokens").where(F.size("tokens") > 0)
+    text = F.col("_text") if "_text" in tokens.columns else _packed(F.col("tokens"))
+    numbered = tokens.select(cluster, "_rank", text.alias("_text")).where(F.col("_text").isNotNull())
     if n == 1 or within_review:
         joined = numbered.withColumn("_next", F.array().cast("array<string>"))
     else:
         joined = _following_tokens(numbered, n, cluster)
-    streams = joined.select(cluster, "_rank", F.concat("tokens", "_next").alias("_stream"))
+    streams = joined.select(cluster, "_rank", F.concat(_unpacked(F.col("_text")), "_next").alias("_stream"))
     zipped = streams.select(
         cluster, "_rank", F.posexplode(shifted(F.col("_stream"), n)).alias("_p", "_w")
     )
@@ -119,23 +142,42 @@ def top_ngrams(
 def term_counts(tokens: DataFrame) -> DataFrame:
     """Replace ``tokens`` by one row per distinct token of the row and its count.
 
-    The sorted tokens of a row fall into runs, so counting needs no shuffle.
+    All tokens of a row are in one task, so counting needs no shuffle.
     """
     others = [c for c in tokens.columns if c != "tokens"]
-    in_order = tokens.where(F.size("tokens") > 0).select(*others, F.sort_array("tokens").alias("_s"))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("_s") - 1),
-        lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)),
-    )
-    runs = F.transform(
-        "_b",
-        lambda b, j: F.struct(
-            F.get("_s", b).alias("term"),
-            (F.coalesce(F.get("_b", j + 1), F.size("_s")) - b).alias("_tf"),
-        ),
-    )
-    counted = in_order.withColumn("_b", starts).select(*others, F.explode(runs).alias("_r"))
-    return counted.select(*others, "_r.*")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, len(others)):
+            rows, terms, times = counted_values(piece.column(len(others)))
+            held = [piece.column(i).take(pa.array(rows)) for i in range(len(others))]
+            yield pa.RecordBatch.from_arrays(
+                [*held, terms, pa.array(times.astype("int32"))], [*others, "term", "_tf"]
+            )
+
+    schema = StructType([tokens.schema[c] for c in others])
+    schema = schema.add("term", StringType()).add("_tf", IntegerType())
+    return tokens.select(*others, "tokens").mapInArrow(task, schema)
+
+
+def _usage(tokens: DataFrame, cluster: str) -> DataFrame:
+    """``cluster, term, _total, _df``: occurrences and reviews, added up in the tasks first."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, 1):
+            rows, terms, times = counted_values(piece.column(1))
+            found = pa.table(
+                {"cluster": piece.column(0).take(pa.array(rows)), "term": terms, "tf": pa.array(times)}
+            )
+            totals = found.group_by(["cluster", "term"], use_threads=False)
+            totals = totals.aggregate([("tf", "sum"), ("tf", "count")])
+            yield from totals.select(["cluster", "term", "tf_sum", "tf_count"]).rename_columns(
+                [cluster, "term", "_total", "_df"]
+            ).to_batches()
+
+    schema = StructType([tokens.schema[cluster]])
+    schema = schema.add("term", StringType()).add("_total", LongType()).add("_df", LongType())
+    parts = tokens.select(cluster, "tokens").mapInArrow(task, schema)
+    return parts.groupBy(cluster, "term").agg(F.sum("_total").alias("_total"), F.sum("_df").alias("_df"))
 
 
 def tfidf_terms(
@@ -150,10 +192,7 @@ def tfidf_terms(
     broadcasts them only when they are small.
     """
     sizes = tokens.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
-    tf = stored(term_counts(tokens.select(cluster, order, "tokens")).where(F.length("term") >= 2))
-    usage = tf.groupBy(cluster, "term").agg(
-        F.sum("_tf").alias("_total"), F.count(F.lit(1)).alias("_df")
-    )
+    usage = _usage(tokens, cluster).where(F.length("term") >= 2)
     place = F.row_number().over(W.partitionBy(cluster).orderBy(F.desc("_total"), "term"))
     kept = usage.withColumn("_place", place).where(F.col("_place") <= max_features)
     idf = stored(
@@ -161,6 +200,7 @@ def tfidf_terms(
         .withColumn("_idf", F.log((1.0 + F.col("_n")) / (1.0 + F.col("_df"))) + 1.0)
         .select(cluster, "term", "_idf", "_n")
     )
+    tf = term_counts(tokens.select(cluster, order, "tokens"))
     weighted = tf.join(idf, [cluster, "term"]).withColumn("_w", F.col("_tf") * F.col("_idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(cluster, order)))
     return (
@@ -193,7 +233,8 @@ def cluster_profiles(
     """
     df = df.na.drop(subset=[text, cluster]).select(cluster, order, text)
     tokens = with_tokens(df, text, stop_words).select(cluster, order, "tokens")
-    tokens = stored(ranked_tokens(tokens, cluster, order))
+    tokens = stored(_ranked_text(tokens, cluster, order))
+    tokens = tokens.withColumn("tokens", _unpacked(F.col("_text")))
     base = df.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("size"), F.avg(F.length(text)).alias("avg_text_length")
     )
