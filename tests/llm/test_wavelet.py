@@ -49,6 +49,24 @@ def test_pieces_encode_as_the_library_does(rows, special_as_text):
         assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_known_pieces_need_no_pattern(rows):
+    tokenizer, encoder = library(), V.PieceEncoder(PATH)
+    words = "uno dos, tres! cuatro it's we'll café 12a 日本 a\nb c\n"
+    encoder.encode(words)
+
+    class Unused:
+        def __getattr__(self, name):
+            raise AssertionError("a text of known pieces is looked up only")
+
+    blended, cuts, encoder.blended, encoder.cuts = encoder.blended, encoder.cuts, Unused(), Unused()
+    assert encoder.encode(words) and encoder.encode("uno tres! dos, tres! café")
+    encoder.blended, encoder.cuts = blended, cuts
+    # Texts that share pieces, in which a blank may belong to the next cut or not.
+    for text in ["uno  dos,", "uno c\n  tres!", "c\n dos,", "dos, \n tres!", "dos, ", " dos,", "uno \tdos, uno", "a\nb  "] * 2:
+        got = np.frombuffer(encoder.encode(text), dtype=encoder.kind).tolist()
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_files_hold_all_documents_in_order(spark, docs, rows, tmp_path):
     tokenizer, path = library(), str(tmp_path / "shards")
     extra = docs.withColumnsRenamed({"lang": "part", "n_chars": "n_tokens"})

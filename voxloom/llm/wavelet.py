@@ -12,6 +12,7 @@ import struct
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,6 +194,7 @@ class PieceEncoder:
         self.model = tokenizer.model
         self.kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.bits = 16 if self.kind is np.uint16 else 32
+        self.code = np.dtype(self.kind).char
         shown = {} if special_as_text else added
         self.added = {t.content: np.array([i], dtype=self.kind).tobytes() for i, t in shown.items()}
         # The longest of those that begin at one place.
@@ -205,6 +207,8 @@ class PieceEncoder:
         others = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.cached: dict[str, bytes] = {}
+        # The same for pieces after a blank, by the piece without it; none that could blend.
+        self.after_blank: dict[str, bytes] = {}
         self.cut_ids: dict[str, bytes] = {}
         self.blended = regex.compile(r"(?:^|\s) (?:\s|$)")
 
@@ -213,17 +217,21 @@ class PieceEncoder:
         if found is None:
             mapped = cut.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(mapped)]
-            found = self.cut_ids[cut] = np.array(ids, dtype=self.kind).tobytes()
+            found = self.cut_ids[cut] = array(self.code, ids).tobytes()
         return found
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.cached.get(piece)
+    def _piece(self, piece: str, held: dict[str, bytes], name: str) -> bytes:
+        """The ids of a piece, which ``held`` keeps under ``name``."""
+        found = held.get(name)
         if found is None:
-            if len(self.cached) >= CACHED_PIECES:
+            if len(self.cached) + len(self.after_blank) >= CACHED_PIECES:
                 self.cached.clear()
+                self.after_blank.clear()
                 self.cut_ids.clear()
-            found = b"".join([self._cut(c) for c in self.cuts.findall(piece)])
-            self.cached[piece] = found
+            # A blank and plain letters are one cut.
+            single = piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())
+            cuts = [piece] if single else self.cuts.findall(piece)
+            found = held[name] = b"".join([self._cut(c) for c in cuts])
         return found
 
     def encode(self, text: str) -> bytes:
@@ -236,16 +244,21 @@ class PieceEncoder:
         )
 
     def _ordinary(self, text: str) -> bytes:
-        if self.blended.search(text):
-            return b"".join([self._cut(c) for c in self.cuts.findall(text)])
         first, *rest = text.split(" ")
-        known = self.cached
-        out = [self._piece(first)]
-        for piece in rest:
-            piece = " " + piece
-            found = known.get(piece)
-            out.append(self._piece(piece) if found is None else found)
-        return b"".join(out)
+        out = [*map(self.after_blank.get, rest)]
+        if None in out:
+            # A blank that blends has nothing or white space behind it.
+            unknown = [i for i, found in enumerate(out) if found is None]
+            odd = any(not rest[i] or rest[i][0].isspace() for i in unknown)
+            if odd and self.blended.search(text):
+                return b"".join([self._cut(c) for c in self.cuts.findall(text)])
+            for i in unknown:
+                piece, whole = rest[i], " " + rest[i]
+                if piece and not piece[0].isspace():
+                    out[i] = self._piece(whole, self.after_blank, piece)
+                else:
+                    out[i] = self._piece(whole, self.cached, whole)
+        return self._piece(first, self.cached, first) + b"".join(out)
 
 
 def worker_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
@@ -302,7 +315,7 @@ def token_shards(
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 data = (enc.encode(text) if text else b"") + end
-                ids.append(None if pd.isna(doc_id) else doc_id)
+                ids.append(None if doc_id is None or doc_id != doc_id else doc_id)
                 lengths.append(len(data) // width)
                 stream.append(data)
                 size += lengths[-1]
