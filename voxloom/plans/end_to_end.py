@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voxloom.checks import require_complete
 from voxloom.operators import cleaning, prompts, relevance, reports, requirements, respond
 from voxloom.operators.consolidate import consolidate_tables
-from voxloom.operators.embed import embed_with, embed_with_word2vec, fit_word2vec
+from voxloom.operators.embed import embed_with, fit_shared_word2vec
 from voxloom.operators.scoring import keep_relevant, score_with
 from voxloom.plans.choose_k import cluster_reviews
 from voxloom.session import stored
@@ -98,7 +98,7 @@ def mine_requirements(
     relevant = keep_relevant(scored).select("review_id", "Review")
     require_complete(relevant, ["Review"])
     if make_encoder is None:
-        embedded = embed_with_word2vec(relevant, fit_word2vec(relevant))
+        embedded = fit_shared_word2vec(relevant).embed(relevant)
     else:
         embedded = embed_with(relevant, make_encoder)
     clustered = stored(
