@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from voxloom.checks import require_choice, require_columns
 from voxloom.functions.text import shifted, words
@@ -16,6 +21,10 @@ MAX_ARRAY_TERMS = 2_000
 # (128 KB in the plan at any size of the glossary; more terms only let more sequences pass).
 GRAM = 3
 BLOOM_BITS = 1 << 20
+# A glossary up to so many distinct terms and characters is held by every task; a task keeps
+# the terms of so many runs of a text, none of them longer than that.
+MAX_HELD_TERMS, MAX_HELD_CHARS = 1 << 18, 1 << 22
+CACHED_RUNS, CACHED_LENGTH = 1 << 18, 64
 
 
 def tokenised_glossary(glossary: DataFrame) -> DataFrame:
@@ -34,10 +43,12 @@ def relevant_count(
     """Add ``rc``: how many glossary rows occur in the text as a substring.
 
     A small glossary (its rows are counted first) is one array inside the plan
-    and the whole job is a map. A larger one is joined by its ``rarest_grams``: a text
-    sends only sequences that pass a Bloom filter of the keys, and a text and a term
-    that share a key are compared. A key is as rare as the texts allow; one that many
-    texts share all the same is left to the skew join of adaptive execution.
+    and the whole job is a map. A larger one of bounded size is held by the tasks, which
+    look up the words of a text (``_counts_by_runs``). One beyond that
+    is joined by its ``rarest_grams``: a text sends only sequences that pass a Bloom filter
+    of the keys, and a text and a term that share a key are compared. A key is as rare as
+    the texts allow; one that many texts share all the same is left to the skew join of
+    adaptive execution.
     """
     require_choice("method", method, ("auto", "array", "join"))
     terms = glossary.select("Term").where(F.col("Term").isNotNull())
@@ -48,6 +59,10 @@ def relevant_count(
         listed = terms.agg(F.collect_list("Term")).scalar()
         hits = F.filter(F.col("_terms"), lambda t: F.contains(F.col(text), t))
         return df.withColumn("_terms", listed).withColumn("rc", F.size(hits)).drop("_terms")
+    weighted = terms.groupBy("Term").agg(F.count(F.lit(1)).alias("_w"))
+    n, chars = weighted.agg(F.count(F.lit(1)), F.sum(F.length("Term"))).first()
+    if n <= MAX_HELD_TERMS and (chars or 0) <= MAX_HELD_CHARS:
+        return df.withColumn("rc", _counts_by_runs({r["Term"]: r["_w"] for r in weighted.collect()}, F.col(text)))
     return df.join(_counts_by_join(df, terms, text, key), key, "left").withColumn(
         "rc", F.coalesce("rc", F.lit(0))
     )
@@ -129,6 +144,73 @@ def _held(df: DataFrame, keys: DataFrame, text: str, lengths: list[int]) -> Data
     return sequences.where(_may_hold(bloom, F.col("_k")))
 
 
+def _counts_by_runs(weights: dict[str, int], text: Column) -> Column:
+    """The sum of the weights of the terms that a text holds.
+
+    A term without a blank is held by a text if a run of the terms' own characters in it
+    holds it, so a task finds the terms of each distinct run once: where a term's first
+    characters are, the pieces of the lengths of such terms are looked up. Of a term with
+    blanks the longest part is looked up, and the text decides.
+    """
+    held: dict[str, int] = {}
+    own, spaced = [], {}
+    for term, weight in sorted(weights.items()):
+        run = max(term.split(" "), key=len)
+        i = held.setdefault(run, len(held))
+        if i == len(own):
+            own.append(0)
+        if run and run == term:
+            own[i] = weight
+        else:
+            spaced.setdefault(i, []).append((term, weight))
+    starts: dict[str, set[int]] = {}
+    for run in held:
+        if len(run) >= GRAM:
+            starts.setdefault(run[:GRAM], set()).add(len(run))
+    short = sorted({len(run) for run in held if 0 < len(run) < GRAM})
+    letters = "".join(map(re.escape, sorted({c for run in held for c in run})))
+    cuts = re.compile(f"[{letters}]+" if letters else "(?!)")
+    always = [held[""]] if "" in held else []
+    single = not spaced and all(w == 1 for w in own)
+    shared = SparkSession.active().sparkContext.broadcast((held, starts, own, spaced))
+
+    @pandas_udf("int")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        number, starts, own, spaced = shared.value
+        known: dict[str, tuple[int, ...]] = {}
+
+        def found_in(run: str) -> tuple[int, ...]:
+            found = set()
+            for i in range(len(run)):
+                head = run[i : i + GRAM]
+                for size in starts.get(head, ()):
+                    if (piece := run[i : i + size]) in number:
+                        found.add(number[piece])
+                for size in short:
+                    if (piece := head[:size]) in number:
+                        found.add(number[piece])
+            if len(run) <= CACHED_LENGTH:
+                if len(known) >= CACHED_RUNS:
+                    known.clear()
+                known[run] = tuple(found)
+            return tuple(found)
+
+        def count(value: str | None) -> int:
+            if value is None:
+                return 0
+            listed = [(run, known.get(run)) for run in set(cuts.findall(value))]
+            held = set(always).union(*[found_in(run) if ids is None else ids for run, ids in listed])
+            if single:
+                return len(held)
+            more = [w for i in held & spaced.keys() for term, w in spaced[i] if term in value]
+            return sum([own[i] for i in held]) + sum(more)
+
+        for values in batches:
+            yield pd.Series([count(v) for v in values], dtype="int32")
+
+    return counted(text)
+
+
 def _counts_by_join(df: DataFrame, terms: DataFrame, text: str, key: str) -> DataFrame:
     keyed = cut_lineage(rarest_grams(df, terms, text))
     candidates = _held(df.select(key, text), keyed, text, _lengths(keyed, "_k")).join(keyed, "_k")
