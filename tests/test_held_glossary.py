@@ -38,3 +38,12 @@ def test_a_larger_glossary_is_joined(spark, monkeypatch):
     assert {r["review_id"]: r["rc"] for r in counted.collect()} == {
         i: _expected(t) for i, t in enumerate(TEXTS) if t is not None
     }
+
+
+def test_rows_that_share_a_key_count_as_in_the_join(spark, monkeypatch):
+    _, terms = _rows(spark)
+    rows = [(1, "cost of"), (1, "cost of"), (2, "sting a b"), (2, "of a"), (2, "sting a b"), (3, "no"), (None, "of cost")]
+    texts = spark.createDataFrame([*rows, (4, "of cost"), (5, None), (5, "co")], "review_id long, Review string")
+    got = sorted(map(tuple, G.relevant_count(texts, terms, method="join").collect()), key=str)
+    monkeypatch.setattr(G, "MAX_HELD_TERMS", 0)
+    assert got == sorted(map(tuple, G.relevant_count(texts, terms, method="join").collect()), key=str)

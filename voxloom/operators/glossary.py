@@ -62,7 +62,14 @@ def relevant_count(
     weighted = terms.groupBy("Term").agg(F.count(F.lit(1)).alias("_w"))
     n, chars = weighted.agg(F.count(F.lit(1)), F.sum(F.length("Term"))).first()
     if n <= MAX_HELD_TERMS and (chars or 0) <= MAX_HELD_CHARS:
-        return df.withColumn("rc", _counts_by_runs({r["Term"]: r["_w"] for r in weighted.collect()}, F.col(text)))
+        own = _counts_by_runs({r["Term"]: r["_w"] for r in weighted.collect()}, F.col(text))
+        # A row without a key meets no term, and rows that share one meet each other's.
+        found = df.withColumn("rc", F.when(F.col(key).isNotNull(), own).otherwise(0))
+        shared = df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+        if shared.isEmpty():
+            return found
+        met = _counts_by_join(df, terms, text, key, shared).withColumnRenamed("rc", "_met")
+        return found.join(met, key, "left").withColumn("rc", F.coalesce("_met", "rc")).drop("_met")
     return df.join(_counts_by_join(df, terms, text, key), key, "left").withColumn(
         "rc", F.coalesce("rc", F.lit(0))
     )
@@ -211,8 +218,13 @@ def _counts_by_runs(weights: dict[str, int], text: Column) -> Column:
     return counted(text)
 
 
-def _counts_by_join(df: DataFrame, terms: DataFrame, text: str, key: str) -> DataFrame:
+def _counts_by_join(
+    df: DataFrame, terms: DataFrame, text: str, key: str, only: DataFrame | None = None
+) -> DataFrame:
+    """``key, rc`` of the keys that meet a term; ``only`` names the keys that are asked for."""
     keyed = cut_lineage(rarest_grams(df, terms, text))
+    if only is not None:
+        df = df.join(only, key, "left_semi")
     candidates = _held(df.select(key, text), keyed, text, _lengths(keyed, "_k")).join(keyed, "_k")
     verified = candidates.select(key, "Term", "_w").join(df.select(key, text), key)
     verified = verified.where(F.contains(F.col(text), F.col("Term")))
